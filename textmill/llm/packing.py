@@ -11,6 +11,8 @@ packing replaces the old one only where it takes fewer bins.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -33,18 +35,68 @@ MEMO_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Words of letters that have no other form under NFC, whose lower case does not
+#: depend on their neighbours, and the marks behind them.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _direct(tokenizer: Tokenizer) -> Callable[[str], bytes] | None:
+    """Encodes one run of plain lower-case letters by the tokenizer's model
+    alone, if its other steps are known to leave such a run as it is: lower
+    case, NFC and white space before it, and a split into runs of letters."""
+    made = json.loads(tokenizer.to_str())
+    normal = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    runs = [s.get("pattern", {}).get("Regex") for s in steps[:1]] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
+    if normal != ["NFC", "Replace", "Lowercase"] or not runs or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    model = tokenizer.model
+
+    def encode(run: str) -> bytes:
+        seen = run if run.isascii() else run.encode().decode("latin-1").translate(letters)
+        return np.array([t.id for t in model.tokenize(seen)], dtype="<u4").tobytes()
+
+    return encode
+
+
 def encoder(tokenizer_path: str, end_id: int) -> Callable[[str | None], bytes]:
     """Text to ids as little-endian unsigned 32-bit numbers, ``end_id`` last.
 
     The tokenizer drops white space and never joins ids across it, so a text's
     ids are those of its words; each distinct word is encoded once and
     remembered. Splitting is on blank, newline, tab and return alone, so any
-    other white space stays inside a word and is left to the tokenizer.
+    other white space stays inside a word and is left to the tokenizer. Plain
+    words go to the tokenizer's model directly, which saves its bookkeeping.
     """
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.encode_special_tokens = True
+    direct = _direct(tokenizer)
     end = int(end_id).to_bytes(4, "little")
     memo: dict[str, bytes] = {"": b""}
+    runs: dict[str, bytes] = {}
+
+    def general(words: list[str]) -> dict[str, bytes]:
+        found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {w: np.asarray(got.ids, dtype="<u4").tobytes() for w, got in zip(words, found, strict=True)}
+
+    def learn(fresh: list[str]) -> dict[str, bytes]:
+        local, rest = {}, []
+        for word in fresh:
+            plain = direct and _PLAIN.fullmatch(word)
+            if not plain:
+                rest.append(word)
+                continue
+            run, marks = plain[1].lower(), plain[2]
+            if run not in runs:
+                runs[run] = direct(run)
+            if marks and marks not in runs:
+                runs[marks] = general([marks])[marks]
+            local[word] = runs[run] + runs[marks] if marks else runs[run]
+        for i in range(0, len(rest), 4096):
+            local |= general(rest[i : i + 4096])
+        return local
 
     def encode(text: str | None) -> bytes:
         if not text:
@@ -54,16 +106,11 @@ def encoder(tokenizer_path: str, end_id: int) -> Callable[[str | None], bytes]:
             return b"".join(map(memo.__getitem__, parts)) + end
         except KeyError:
             pass
-        fresh = list({p for p in parts if p not in memo})
-        if len(memo) + len(fresh) > MEMO_WORDS:
+        if len(memo) > MEMO_WORDS:
             memo.clear()
+            runs.clear()
             memo[""] = b""
-            fresh = list(set(parts) - {""})
-        local = {}
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            for word, got in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                local[word] = np.asarray(got.ids, dtype="<u4").tobytes()
+        local = learn([p for p in set(parts) if p not in memo])
         memo.update((w, b) for w, b in local.items() if len(w) <= 64)
         return b"".join([memo[p] if p in memo else local[p] for p in parts]) + end
 
