@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from struct import pack as pack_ids
 from zlib import crc32
 
 import numpy as np
@@ -30,7 +31,7 @@ GROUP_ROWS = 1 << 16
 #: Exchanges of released documents after the first packing.
 ROUNDS = 3
 #: Words whose ids a worker remembers before it starts afresh.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -56,7 +57,8 @@ def _direct(tokenizer: Tokenizer) -> Callable[[str], bytes] | None:
 
     def encode(run: str) -> bytes:
         seen = run if run.isascii() else run.encode().decode("latin-1").translate(letters)
-        return np.array([t.id for t in model.tokenize(seen)], dtype="<u4").tobytes()
+        ids = [t.id for t in model.tokenize(seen)]
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     return encode
 

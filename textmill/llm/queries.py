@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, pii, quality
+from . import ann, bpe, langid, neardup, packing, pages, pii, quality, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classify(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.search(vectors, vectors.filter(F.col("id") % 20 == 0))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, bpe.digests, bpe.DIGEST_FIELDS)
@@ -43,8 +60,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
+    "op6_url_filters": op6_url_filters,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_collision_ann": op9_collision_ann,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
