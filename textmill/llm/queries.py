@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, neardup, packing, pages, pii, quality, urls
+from . import ann, bpe, langid, linededup, neardup, packing, pages, pii, quality, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.clean(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filters": op6_url_filters,
+    "op7_line_dedup": op7_line_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op9_collision_ann": op9_collision_ann,
     "op10_byte_bpe": op10_byte_bpe,
@@ -71,4 +76,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality.ORACLE_SQL,
+    "op7_line_dedup": linededup.ORACLE_SQL,
 }
