@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import sha256
@@ -23,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from .common import slices
 
@@ -109,7 +111,7 @@ def count_words(texts: Column | str, docs: DataFrame, pattern: str) -> DataFrame
     are counted before they are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, found = regex.compile(pattern).findall, Counter()
+        split, found = splitter(pattern), Counter()
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
@@ -141,15 +143,20 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     links between neighbours keep long words near linear."""
     if word in ranks:
         return (ranks[word],)
-    n = len(word)
+    n, rank_of = len(word), ranks.get
     parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
-    if n <= 48:
-        while len(parts) > 1:
-            low, at = min((ranks.get(a + b, _NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if low == _NONE:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
+    if n <= 64:
+        pairs = [rank_of(word[i : i + 2], _NONE) for i in range(n - 1)]
+        while pairs and (low := min(pairs)) != _NONE:
+            i = pairs.index(low)
+            joined = parts[i] + parts[i + 1]
+            parts[i : i + 2] = [joined]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank_of(parts[i - 1] + joined, _NONE)
+            if i < len(pairs):
+                pairs[i] = rank_of(joined + parts[i + 1], _NONE)
+        return tuple([ranks[p] for p in parts])
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
     heapq.heapify(heap)
@@ -169,67 +176,100 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[p] for p in parts if p is not None)
 
 
-class WordTable:
-    """Ids of words in a worker: those that Spark has folded, and others folded
-    here on first sight."""
-
-    def __init__(self, folded: dict[str, tuple[int, ...]], ranks: dict[bytes, int]):
-        self.ranks, self.known, self.local = ranks, folded, {}
-
-    def ids(self, words: list[str]) -> list[int]:
-        known, local = self.known, self.local
-        fresh = [w for w in set(words) if w not in known and w not in local]
-        if len(local) + len(fresh) > LOCAL_WORDS:
-            local.clear()
-            fresh = [w for w in set(words) if w not in known]
-        for w in fresh:
-            local[w] = merge_word(w.encode("utf-8"), self.ranks)
-        out = list(chain.from_iterable([known[w] if w in known else local[w] for w in words]))
-        for w in fresh:
-            if len(w) > 64:
-                del local[w]
-        return out
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, row: Callable[[list[int], bytes], tuple], fields: list[tuple[str, pa.DataType]], memo_words: int = MEMO_WORDS) -> DataFrame:
-    """Encodes every whole ``text`` and decodes its ids again. ``row`` makes the
-    returned values from a text's ids and the decoded bytes; ``fields`` names
-    them and their Arrow types. ``doc_id`` comes first. A null text counts as
-    empty, an empty one has no ids; repeated rows give repeated results; other
-    columns are ignored."""
+#: The splitting pattern of the public rank files, and the same for texts whose
+#: code points are all below 256: without Unicode properties it runs faster.
+_PROPERTIES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """Finds the words of a text."""
+    general, latin = regex.compile(pattern).findall, _LATIN.findall
+    if pattern != _PROPERTIES:
+        return general
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return general(text)
+        return latin(text)
+
+    return split
+
+
+class WordTable(dict):
+    """What a worker knows of a word: ``shape`` of its ids and of the bytes
+    that they decode to. Words that Spark has folded are there from the start,
+    others are folded on first sight and forgotten when there are too many."""
+
+    def __init__(self, folded: dict[str, tuple[int, ...]], ranks: dict[bytes, int], shape: Callable[[tuple[int, ...], bytes], tuple]):
+        super().__init__()
+        self.ranks, self.folded, self.shape = ranks, folded, shape
+        self.pieces = {r: b for b, r in ranks.items()}
+
+    def __missing__(self, word: str) -> tuple:
+        ids = self.folded.get(word) or merge_word(word.encode("utf-8"), self.ranks)
+        value = self.shape(ids, b"".join(map(self.pieces.__getitem__, ids)))
+        if len(word) <= 64:
+            self[word] = value
+        return value
+
+    def of(self, words: list[str]) -> list[tuple]:
+        if len(self) > LOCAL_WORDS:
+            self.clear()
+        return list(map(self.__getitem__, words))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, result: type[Digests] | type[RoundTrip], memo_words: int = MEMO_WORDS) -> DataFrame:
+    """Encodes every whole ``text`` and decodes its ids again: doc_id and the
+    columns of ``result``. A null text counts as empty, an empty one has no ids;
+    repeated rows give repeated results; other columns are ignored."""
     spark = docs.sparkSession
     ranks = load_ranks(ranks_path)
     folded = frequent_ids(count_words("text", docs, pattern), RankMap(spark, ranks), memo_words).toArrow().to_pydict()
     table = dict(zip(folded["word"], map(tuple, folded["ids"]), strict=True))
     sent = spark.sparkContext.broadcast((table, ranks))
-    schema = pa.schema([("doc_id", pa.int64()), *fields])
+    schema = pa.schema([("doc_id", pa.int64()), *result.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, words = regex.compile(pattern).findall, WordTable(*sent.value)
-        piece = {r: b for b, r in words.ranks.items()}
+        split, words = splitter(pattern), WordTable(*sent.value, result.word)
         for batch in slices(batches):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = words.ids(split(text)) if text else []
-                out.append((doc_id, *row(ids, b"".join(map(piece.__getitem__, ids)))))
+                out.append((doc_id, *result.text(words.of(split(text)) if text else [])))
             columns = list(zip(*out, strict=True)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    from pyspark.sql.pandas.types import from_arrow_schema
-
     return docs.select("doc_id", "text").mapInArrow(run, from_arrow_schema(schema))
 
 
-def digests(ids: list[int], decoded: bytes) -> tuple[int, str, str]:
-    """Number of ids, and the SHA-256 of the decimal ids joined by blanks and
-    of the decoded bytes."""
-    return len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(decoded).hexdigest()
+class Digests:
+    """Number of ids, and the SHA-256 of the decimal ids joined by blanks and of
+    the decoded bytes."""
 
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 
-def round_trip(ids: list[int], decoded: bytes) -> tuple[list[int], bytes]:
+    @staticmethod
+    def word(ids: tuple[int, ...], decoded: bytes) -> tuple[str, bytes]:
+        return " ".join(map(str, ids)), decoded
+
+    @staticmethod
+    def text(words: list[tuple[str, bytes]]) -> tuple[int, str, str]:
+        joined = " ".join([w[0] for w in words])
+        return joined.count(" ") + 1 if joined else 0, sha256(joined.encode()).hexdigest(), sha256(b"".join([w[1] for w in words])).hexdigest()
+
+
+class RoundTrip:
     """The ids themselves and the decoded bytes."""
-    return ids, decoded
 
+    fields = [("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]
+
+    @staticmethod
+    def word(ids: tuple[int, ...], decoded: bytes) -> tuple[tuple[int, ...], bytes]:
+        return ids, decoded
 
-DIGEST_FIELDS = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-ROUND_TRIP_FIELDS = [("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]
+    @staticmethod
+    def text(words: list[tuple[tuple[int, ...], bytes]]) -> tuple[list[int], bytes]:
+        return list(chain.from_iterable([w[0] for w in words])), b"".join([w[1] for w in words])
