@@ -8,12 +8,12 @@ more than its allowed errors. Chunks with e_i = 0 are looked up as they are, tho
 with e_i = 1 once for each symbol left out. ``t`` is the smallest distance that a
 pair at the similarity threshold exceeds with a chance of at most ``MISS``.
 
-Documents with equal shingle sets are one node from the start. In every bucket
-the nodes are first compared with the bucket's smallest one, which costs as many
-pairs as there are nodes; links are confirmed on the full shingle sets and give
-components. Only where a bucket still holds several components are nodes of
-different ones compared with each other, if their sizes and signatures allow a
-link. No pair of linked copies is ever expanded, and no link that joins
+Documents with equal shingle sets are one node from the start. In each
+of a few rounds every node is compared with one hub of its buckets, which costs
+no more pairs than there are nodes; links are confirmed on the full shingle sets
+and give components. Only where a bucket still holds several components are
+nodes of different ones compared with each other, if their sizes and signatures
+allow a link. No pair of linked copies is ever expanded, and no link that joins
 components is lost.
 """
 
@@ -35,6 +35,8 @@ SYMBOLS, PER_CHUNK = 128, 4
 CHUNKS = SYMBOLS // PER_CHUNK
 #: Chance that a pair at the threshold is farther apart than the join looks.
 MISS = 1e-5
+#: Rounds in which each node is compared with one hub.
+HUB_ROUNDS = 2
 #: Words whose hashes a worker remembers before it starts afresh.
 MEMO_WORDS = 400_000
 
@@ -198,6 +200,43 @@ def components(links: DataFrame) -> DataFrame:
         roots = fresh.select("node", "root")
 
 
+def open_buckets(placed: DataFrame) -> DataFrame:
+    """Rows (key, part, ...) of the buckets that hold several parts."""
+    several = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key")
+    return placed.join(several, "key", "left_semi")
+
+
+def hub_pairs(placed: DataFrame, tested: DataFrame) -> DataFrame:
+    """One pair (a < b) for each node at most. A bucket's hub is its node of the
+    largest weight, the number of nodes that it shares buckets with: an original
+    meets more of its copies than these meet each other. Each node is paired
+    with the weightiest hub of its buckets that belongs to another part."""
+    order = lambda: F.struct("weight", (-F.col("node")).alias("minus"), "part")
+    best = placed.groupBy("key", "part").agg(F.max(order()).alias("hub"))
+    top = best.groupBy("key").agg(F.max("hub").alias("top"))
+    other = best.join(top, "key").filter(F.col("part") != F.col("top.part")).groupBy("key").agg(F.max("hub").alias("next"))
+    hubs = top.join(other, "key")
+    met = placed.join(hubs, "key").select("node", F.when(F.col("part") != F.col("top.part"), F.col("top")).otherwise(F.col("next")).alias("hub"))
+    pairs = met.groupBy("node", (-F.col("hub.minus")).alias("other")).agg(F.max("hub.weight").alias("weight"))
+    pairs = pairs.select("node", "other", "weight", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).join(tested, ["a", "b"], "left_anti")
+    chosen = pairs.groupBy("node").agg(F.max(F.struct("weight", (-F.col("other")).alias("minus"))).alias("hub"))
+    other = -F.col("hub.minus")
+    return chosen.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
+
+
+def first_common(a: Column, b: Column, distance: int) -> Column:
+    """Number of the first key of an unaltered chunk that two signatures share,
+    -1 if there is none; so a pair is taken from one bucket of theirs."""
+    errors = chunk_errors(distance)
+    if min(errors):
+        return F.lit(-1)
+    start = errors.index(0)
+    before = sum(len(_lane_masks(e)) for e in errors[:start])
+    same = F.zip_with(F.slice(a, start + 1, CHUNKS), F.slice(b, start + 1, CHUNKS), lambda x, y: x == y)
+    at = F.array_position(same, F.lit(True)).cast("int")
+    return F.when(at > 0, at - 1 + before).otherwise(-1)
+
+
 def classify(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -216,31 +255,36 @@ def classify(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     chosen = filled.join(classes.withColumn("doc_id", F.col("node")), ["doc_id", "d0", "d1"])
     nodes = materialize(chosen.select("node", F.col("n_shingles").alias("n"), "s", "d0", "d1", "copies").dropDuplicates(["d0", "d1"]), "nodes")
 
-    keyed = nodes.select("node", F.explode(keys(F.col("s"), distance)).alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key", "hub")
-    shared = materialize(keyed.join(hubs, "key"), "buckets")
+    keyed = nodes.select("node", F.posexplode(keys(F.col("s"), distance)).alias("k", "key"))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    shared = materialize(keyed.join(counts, "key"), "buckets")
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    shared = materialize(shared.drop("n").join(weight, "node"), "buckets")
 
     def sized(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("s").alias(f"{side}_s")), side)
         return pairs.filter(may_link("a", "b", percent, distance)).select("a", "b")
 
-    stars = shared.filter(F.col("hub") < F.col("node")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = materialize(confirm(sized(stars), docs, width, percent), "links")
-    parts = components(first)
-
-    placed = shared.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
-    open_keys = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key")
-    members = placed.join(open_keys, "key", "left_semi").join(nodes.select("node", "n", "s"), "node")
-    members = materialize(members, "open")
-    a = members.select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "part", "n", "s")])
-    b = members.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "part", "n", "s")])
-    crossing = a.join(b, (a["key"] == b["key"]) & (F.col("a_part") < F.col("b_part")) & may_link("a", "b", percent, distance))
-    pairs = crossing.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_part", "b_part").distinct()
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    second = confirm(materialize(pairs, "pairs"), docs, width, percent)
-    final = components(first.unionByName(second))
+    none = rows.sparkSession.createDataFrame([], "a long, b long")
+    links, tested = none, none
+    placed = shared.withColumn("part", F.col("node"))
+    for round_no in range(HUB_ROUNDS):
+        pairs = materialize(hub_pairs(placed, tested), "stars")
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(materialize(confirm(sized(pairs), docs, width, percent), "links"))
+        parts = components(links)
+        placed = shared.join(parts, "node", "left").select("key", "k", "node", "weight", F.coalesce("root", "node").alias("part"))
+        placed = materialize(open_buckets(placed), "open")
+
+    members = materialize(placed.join(nodes.select("node", "n", "s"), "node"), "open")
+    columns = ("node", "part", "n", "s")
+    a = members.select("key", "k", *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = members.select("key", *[F.col(c).alias(f"b_{c}") for c in columns])
+    first = first_common(F.col("a_s"), F.col("b_s"), distance)
+    crossing = a.join(b, (a["key"] == b["key"]) & (F.col("a_part") < F.col("b_part")) & may_link("a", "b", percent, distance) & ((first == F.col("k")) | (first < 0)))
+    pairs = crossing.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    final = components(links.unionByName(confirm(materialize(pairs, "pairs"), docs, width, percent)))
 
     linked = nodes.join(final, "node", "left").filter((F.col("copies") > 1) | F.col("root").isNotNull()).select("d0", "d1", F.coalesce("root", "node").alias("component"))
     # rows that share a doc_id but not a text follow the smaller component
