@@ -285,11 +285,11 @@ def test_lines(spark):
 
 def test_pages(spark):
     menu = '<div class="x"><p>Our site, est. 1999</p></div>'
-    body = lambda i: f"<html><head><title>t</title><script>var a='<p>';</script></head><body><nav>menu {i}</nav>{menu}<article><header><h1>Title &amp; {i}</h1></header><p><b>One{i}.<br><p>Two &lt;x&gt;&nbsp;&eacute;</p><aside>see also</aside><ul><li>a<li>b</ul><form>mail</form><section class='comments'><p>first!</p></section></article><footer>&copy;</footer></body></html>"
+    body = lambda i: f"<html><head><title>t</title><script>var a='<p>';</script></head><body><nav>menu {i}</nav>{menu}<article><header><h1>Title &amp; {i}</h1></header><p><b>One{i}.<br><p>Two &lt;x&gt;&nbsp;&eacute;</p><aside>see also</aside><ul><li>a{i}<li>b</ul><ul class='x'><li>on every page</ul><form>mail</form><section class='comments'><p>first!</p></section></article><footer>&copy;</footer></body></html>"
     rows = [(i, f"http://h.org/{i}", body(i)) for i in range(12)]
     rows += [(20, "http://h.org/20", f"<body>{menu}<p>Plain   text</p><div>more</div></body>"), (21, "http://h.org/21", None), (22, None, ""), (23, "http://k.org/", "no markup < at all"), (24, "http://h.org/24", "<div hidden>x</div><p>a<b>c</b>d</p>")]
     found = {x["page_id"]: x for x in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert found[3]["text"] == "Title & 3 One3. Two <x> é a b" and found[20]["text"] == "Plain text more"
+    assert found[3]["text"] == "Title & 3 One3. Two <x> é a3 b" and found[20]["text"] == "Plain text more"
     assert (found[21]["text"], found[22]["text"], found[23]["text"], found[24]["text"]) == ("", "", "no markup < at all", "acd")
     assert all(x["n_chars"] == len(x["text"]) for x in found.values())
     copies = spark.createDataFrame([(i, f"http://c.org/{i}", "<body><div><p>The same article.</p></div></body>") for i in range(30)], "page_id long, url string, html string")

@@ -24,7 +24,7 @@ from .common import materialize
 
 LINES, THRESHOLD, WIDEN = 96, 0.6, 1.15
 #: Verified vectors of a shard, as a multiple of k and at least as a share of the shard.
-VERIFY, VERIFY_SHARE = 20, 0.15
+VERIFY, VERIFY_SHARE = 50, 0.15
 SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
 
 
@@ -115,8 +115,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
     vectors, queries = materialize(vectors, "vectors"), materialize(queries, "queries")
     n, m = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    dealt = vectors.select("id", "dim", "vec", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = queries.select("id", "dim", "vec", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    number = F.monotonically_increasing_id()  # in a select of its own: beside explode it would number that one's rows
+    dealt = vectors.select("*", F.pmod(number, F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = queries.select("*", F.pmod(number, F.lit(blocks)).cast("int").alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     keys = ["dim", "shard", "block"]
     found = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(_search(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
