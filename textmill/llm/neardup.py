@@ -8,13 +8,15 @@ more than its allowed errors. Chunks with e_i = 0 are looked up as they are, tho
 with e_i = 1 once for each symbol left out. ``t`` is the smallest distance that a
 pair at the similarity threshold exceeds with a chance of at most ``MISS``.
 
-Documents with equal shingle sets are one node from the start. In each
-of a few rounds every node is compared with one hub of its buckets, which costs
-no more pairs than there are nodes; links are confirmed on the full shingle sets
-and give components. Only where a bucket still holds several components are
-nodes of different ones compared with each other, if their sizes and signatures
-allow a link. No pair of linked copies is ever expanded, and no link that joins
-components is lost.
+Documents with equal shingle sets are one node from the start. Every node is
+compared with one hub, the weightiest node of its buckets, on the full shingle
+sets, which costs no more pairs than there are nodes. Nodes of the same hub are
+then compared by what they differ from it in, exactly and without their texts:
+first, a node in a small component with a few members of the large component of
+its buckets; at last, where a bucket still holds several components, all nodes of
+different ones, inside the join's condition. Pairs with different hubs are
+filtered by size and signature and confirmed on the texts. No pair within a
+component is ever expanded, and no link that joins components is lost.
 """
 
 from __future__ import annotations
@@ -35,8 +37,10 @@ SYMBOLS, PER_CHUNK = 128, 4
 CHUNKS = SYMBOLS // PER_CHUNK
 #: Chance that a pair at the threshold is farther apart than the join looks.
 MISS = 1e-5
-#: Rounds in which each node is compared with one hub.
-HUB_ROUNDS = 2
+#: Shingles in which a node differs from its hub, at most, to be compared with others by these; beyond, by texts.
+DIFFERENCES = 512
+#: Orders by which buckets suggest members of their largest part.
+SUGGESTIONS = 6
 #: Words whose hashes a worker remembers before it starts afresh.
 MEMO_WORDS = 400_000
 
@@ -152,35 +156,34 @@ def distance_between(a: Column, b: Column) -> Column:
     return F.aggregate(lanes, F.lit(0), lambda n, d: n + d)
 
 
-def may_link(a: str, b: str, percent: int, distance: int) -> Column:
-    sizes = (100 * F.least(f"{a}_n", f"{b}_n") >= percent * F.greatest(f"{a}_n", f"{b}_n"))
-    return sizes & (distance_between(F.col(f"{a}_s"), F.col(f"{b}_s")) <= distance)
+def _with_texts(pairs: DataFrame, a: str, b: str, docs: DataFrame) -> DataFrame:
+    """The pairs with their texts, ta and tb. Texts are read for the documents
+    in ``pairs`` only; the join on b comes last, so that equal b follow each
+    other and their set is made once."""
+    involved = pairs.select(F.explode(F.array(a, b)).alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    with_a = pairs.join(texts.select(F.col("doc_id").alias(a), F.col("text").alias("ta")), a)
+    return with_a.join(texts.select(F.col("doc_id").alias(b), F.col("text").alias("tb")), b).select(a, b, "ta", "tb")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Texts are
-    read for the documents in ``pairs`` only; the join on a comes last, so that
-    equal a follow each other and their set is made once."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    """The pairs (a, b) whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last, own = Shingler(width), None, None
         for batch in slices(batches, 64):
             out = []
             for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                if own is None or a != last:
-                    last, own = a, shingle(ta)
-                other = shingle(tb)
+                if own is None or b != last:
+                    last, own = b, shingle(tb)
+                other = shingle(ta)
                 common = len(np.intersect1d(own, other, assume_unique=True))
                 if common and 100 * common >= percent * (len(own) + len(other) - common):
                     out.append((a, b))
             columns = list(zip(*out, strict=True)) or [()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, "a", "b", docs).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,28 +203,83 @@ def components(links: DataFrame) -> DataFrame:
         roots = fresh.select("node", "root")
 
 
-def open_buckets(placed: DataFrame) -> DataFrame:
-    """Rows (key, part, ...) of the buckets that hold several parts."""
+def stars(shared: DataFrame) -> DataFrame:
+    """node and hub: of the nodes that share a bucket with it, a node's hub is
+    the one of the largest weight, the number of nodes that it shares buckets
+    with: an original meets more of its copies than these meet each other."""
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    order = F.struct("weight", (-F.col("node")).alias("minus"))
+    top = shared.join(weight, "node").groupBy("key").agg(F.max(order).alias("hub"))
+    best = shared.join(top, "key").groupBy("node").agg(F.max("hub").alias("hub"))
+    return best.select("node", (-F.col("hub.minus")).alias("hub")).filter(F.col("node") != F.col("hub"))
+
+
+def compare_with_hubs(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, hub, linked, and how the node's full shingle set differs from the
+    hub's: the numbers of shingles gone and added, and the hashes of both (the
+    lowest bit tells which; null if there are more than ``DIFFERENCES``)."""
+    both = _with_texts(pairs, "node", "hub", docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, last, own = Shingler(width), None, None
+        one = np.uint64(1)
+        for batch in slices(batches, 64):
+            out = []
+            for node, hub, text, hub_text in zip(*(batch.column(c).to_pylist() for c in ("node", "hub", "ta", "tb")), strict=True):
+                if own is None or hub != last:
+                    last, own = hub, shingle(hub_text)
+                other = shingle(text)
+                common = np.intersect1d(own, other, assume_unique=True)
+                gone, added = len(own) - len(common), len(other) - len(common)
+                hashes = None
+                if gone + added <= DIFFERENCES:
+                    parts = np.setdiff1d(own, common, True) & ~one, np.setdiff1d(other, common, True) | one
+                    hashes = np.concatenate(parts).view(np.int64)
+                out.append((node, hub, 100 * len(common) >= percent * (len(common) + gone + added) and len(common) > 0, gone, added, hashes))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "hub", "linked", "gone", "added", "diff"])
+
+    return both.mapInArrow(run, "node long, hub long, linked boolean, gone long, added long, diff array<long>")
+
+
+def same_hub_link(a: str, b: str, percent: int) -> Column:
+    """Whether two nodes with the same hub are linked, by their full sets: of
+    x, what is neither added to the hub nor gone from y is common, besides what
+    both have added; what both lack has been subtracted twice."""
+    n_a, n_b = F.col(f"{a}_n"), F.col(f"{b}_n")
+    least = n_a - F.col(f"{a}_added") - F.col(f"{b}_gone")
+
+    def enough(common: Column) -> Column:
+        return 100 * common >= percent * (n_a + n_b - common)
+
+    most = least + F.least(f"{a}_gone", f"{b}_gone") + F.least(f"{a}_added", f"{b}_added")
+    return enough(most) & enough(least + F.size(F.array_intersect(f"{a}_diff", f"{b}_diff")))
+
+
+def comparable(a: str, b: str) -> Column:
+    return (F.col(f"{a}_hub") == F.col(f"{b}_hub")) & F.col(f"{a}_diff").isNotNull() & F.col(f"{b}_diff").isNotNull()
+
+
+def side(details: DataFrame, name: str, *more: str) -> DataFrame:
+    return details.select(*more, *[F.col(c).alias(f"{name}_{c}") for c in details.columns if c not in more])
+
+
+def open_buckets(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, k, node, hub, part of the buckets that hold several parts."""
+    placed = shared.join(parts, "node").select("key", "k", "node", "hub", "part")
     several = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key")
-    return placed.join(several, "key", "left_semi")
-
-
-def hub_pairs(placed: DataFrame, tested: DataFrame) -> DataFrame:
-    """One pair (a < b) for each node at most. A bucket's hub is its node of the
-    largest weight, the number of nodes that it shares buckets with: an original
-    meets more of its copies than these meet each other. Each node is paired
-    with the weightiest hub of its buckets that belongs to another part."""
-    order = lambda: F.struct("weight", (-F.col("node")).alias("minus"), "part")
-    best = placed.groupBy("key", "part").agg(F.max(order()).alias("hub"))
-    top = best.groupBy("key").agg(F.max("hub").alias("top"))
-    other = best.join(top, "key").filter(F.col("part") != F.col("top.part")).groupBy("key").agg(F.max("hub").alias("next"))
-    hubs = top.join(other, "key")
-    met = placed.join(hubs, "key").select("node", F.when(F.col("part") != F.col("top.part"), F.col("top")).otherwise(F.col("next")).alias("hub"))
-    pairs = met.groupBy("node", (-F.col("hub.minus")).alias("other")).agg(F.max("hub.weight").alias("weight"))
-    pairs = pairs.select("node", "other", "weight", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).join(tested, ["a", "b"], "left_anti")
-    chosen = pairs.groupBy("node").agg(F.max(F.struct("weight", (-F.col("other")).alias("minus"))).alias("hub"))
-    other = -F.col("hub.minus")
-    return chosen.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
+    return materialize(placed.join(several, "key", "left_semi"), "open")
+
+
+def suggestions(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a node and a member of the largest other part among the
+    bucket's nodes with the same hub: for each bucket of a node at most one, and
+    by few different orders, so that buckets often suggest the same member."""
+    order = F.struct(F.xxhash64("node", F.col("k") % SUGGESTIONS).alias("h"), "node")
+    groups = placed.groupBy("key", "hub", "part").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("pick"))
+    top = groups.groupBy("key", "hub").agg(F.max(F.struct("n", "part", F.col("pick.node").alias("node"))).alias("top"), F.count(F.lit(1)).alias("parts")).filter(F.col("parts") > 1)
+    return placed.join(top, ["key", "hub"]).filter(F.col("part") != F.col("top.part")).select(F.col("node").alias("a"), F.col("top.node").alias("b")).distinct()
 
 
 def first_common(a: Column, b: Column, distance: int) -> Column:
@@ -258,33 +316,37 @@ def classify(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     keyed = nodes.select("node", F.posexplode(keys(F.col("s"), distance)).alias("k", "key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     shared = materialize(keyed.join(counts, "key"), "buckets")
-    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    shared = materialize(shared.drop("n").join(weight, "node"), "buckets")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("s").alias(f"{side}_s")), side)
-        return pairs.filter(may_link("a", "b", percent, distance)).select("a", "b")
-
-    none = rows.sparkSession.createDataFrame([], "a long, b long")
-    links, tested = none, none
-    placed = shared.withColumn("part", F.col("node"))
-    for round_no in range(HUB_ROUNDS):
-        pairs = materialize(hub_pairs(placed, tested), "stars")
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(materialize(confirm(sized(pairs), docs, width, percent), "links"))
-        parts = components(links)
-        placed = shared.join(parts, "node", "left").select("key", "k", "node", "weight", F.coalesce("root", "node").alias("part"))
-        placed = materialize(open_buckets(placed), "open")
-
-    members = materialize(placed.join(nodes.select("node", "n", "s"), "node"), "open")
-    columns = ("node", "part", "n", "s")
-    a = members.select("key", "k", *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = members.select("key", *[F.col(c).alias(f"b_{c}") for c in columns])
+
+    compared = materialize(compare_with_hubs(stars(shared), docs, width, percent), "stars")
+    starred = compared.dropDuplicates(["node"])
+    none = F.array().cast("array<long>")
+    details = nodes.join(starred, "node", "left").select("node", "n", "s", F.coalesce("hub", "node").alias("hub"), F.coalesce("gone", F.lit(0)).alias("gone"), F.coalesce("added", F.lit(0)).alias("added"), F.when(F.col("hub").isNull(), none).otherwise(F.col("diff")).alias("diff"))
+    details = materialize(details.join(shared.select("node").distinct(), "node", "left_semi"), "details")
+    links = compared.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+    def parts() -> DataFrame:
+        found = components(links)
+        return details.select("node", "hub").join(found, "node", "left").select("node", "hub", F.coalesce("root", "node").alias("part"))
+
+    own = details.drop("s")
+    tried = suggestions(open_buckets(shared, parts())).join(side(own, "a").withColumnRenamed("a_node", "a"), "a").join(side(own, "b").withColumnRenamed("b_node", "b"), "b")
+    links = links.unionByName(materialize(tried.filter(comparable("a", "b") & same_hub_link("a", "b", percent)).select("a", "b"), "links"))
+
+    placed = open_buckets(shared, parts())
+    largest = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "part")).alias("top")).select("key", F.col("top.part").alias("largest"))
+    members = materialize(placed.drop("hub").join(largest, "key").join(details, "node").withColumn("major", F.col("part") == F.col("largest")).drop("largest"), "members")
+    a, b = side(members, "a", "key", "k"), side(members.drop("k").filter(~F.col("major")), "b", "key")
     first = first_common(F.col("a_s"), F.col("b_s"), distance)
-    crossing = a.join(b, (a["key"] == b["key"]) & (F.col("a_part") < F.col("b_part")) & may_link("a", "b", percent, distance) & ((first == F.col("k")) | (first < 0)))
-    pairs = crossing.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    final = components(links.unionByName(confirm(materialize(pairs, "pairs"), docs, width, percent)))
+    crosses = (a["key"] == b["key"]) & (F.col("a_part") != F.col("b_part")) & (F.col("a_major") | (F.col("a_part") < F.col("b_part")))
+    tested = (F.col("a_hub") == F.col("b_node")) | (F.col("b_hub") == F.col("a_node"))
+    sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    once = (first == F.col("k")) | (first < 0)
+    near = F.when(comparable("a", "b"), same_hub_link("a", "b", percent) & once).otherwise((distance_between(F.col("a_s"), F.col("b_s")) <= distance) & once)
+    crossing = a.join(b, crosses & sizes & ~tested & near)
+    pairs = materialize(crossing.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), comparable("a", "b").alias("sure")).distinct(), "pairs")
+    links = links.unionByName(pairs.filter("sure").select("a", "b"))
+    unsure = pairs.filter(~F.col("sure")).select("a", "b")
+    final = components(links.unionByName(confirm(unsure, docs, width, percent)))
 
     linked = nodes.join(final, "node", "left").filter((F.col("copies") > 1) | F.col("root").isNotNull()).select("d0", "d1", F.coalesce("root", "node").alias("component"))
     # rows that share a doc_id but not a text follow the smaller component
