@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -137,6 +138,12 @@ def test_near_duplicates(spark, width, percent):
     chain = words_of(r, 200).split()
     for k in range(8):  # each links with the next one only
         texts.append(" ".join(chain[4 * k : 4 * k + 150]))
+    core = words_of(r, 150, 5000).split()
+    for _ in range(120):  # a large group of near copies around one text, with many that only reach some of the others
+        copy = list(core)
+        for _ in range(r.randint(0, 16 if width == 3 else 12)):
+            copy[r.randrange(len(copy))] = f"new{r.randrange(10**6)}"
+        texts.append(" ".join(copy))
     texts += [words_of(r, 20) for _ in range(20)]
     docs = documents(spark, texts)
     docs = docs.unionByName(docs.filter("doc_id = 30"))
@@ -154,6 +161,15 @@ def test_near_duplicates_of_nothing(spark):
     assert {(x["doc_id"], x["component_id"], x["kept"]) for x in neardup.classify(alone).collect()} == {(None, None, True), (1, 1, True)}
 
 
+def test_near_duplicates_by_texts_where_differences_are_many(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "DIFFERENCES", 8)
+    r = random.Random(6)
+    core = words_of(r, 150, 5000).split()
+    texts = [" ".join(f"new{r.randrange(10**6)}" if r.random() < 0.03 else w for w in core) for _ in range(40)]
+    expected = brute_components(texts, 3, 85)
+    assert {x["doc_id"]: x["component_id"] for x in neardup.classify(documents(spark, texts), 3, 85).collect()} == {i: root for i, (_, root) in expected.items()}
+
+
 def test_every_pair_within_the_distance_shares_a_key(spark):
     r = np.random.default_rng(4)
     t = neardup.allowed_distance(85)
@@ -265,6 +281,19 @@ def test_link_graph(spark):
     assert got.keys() == rank.keys() and all(abs(got[h] - rank[h]) < 1e-12 for h in rank)
 
 
+def test_link_graph_in_sql(spark, tmp_path):
+    r = random.Random(2)
+    hosts = [f"h{i}.{r.choice(['com', 'org', 'net', 'example.net', 'example.com'])}" for i in range(40)]
+    rows = [(i, f"http://{r.choice(hosts).upper()}{r.choice(['/fr/', '/en/x?q', '/de/#f', '', '/'])}", "".join(f"<a HREF='//{h}/'>x</a>" for h in r.sample(hosts, 3))) for i in range(60)]
+    rows += [(100, None, None), (101, "no host", "<a href='http://x.com'>"), (102, "http://net/a://b.org/fr/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    expected = {tuple(x) for x in con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urls.ORACLE_SQL})").fetchall()}
+    found = {tuple(x) for x in urls.judge(spark.read.parquet(f"{tmp_path}/pages")).select("page_id", "host", "path", "rule", "verdict").collect()}
+    assert found == expected and {x[-1] for x in found if x[-2] is None} == {"allow", "block"}
+
+
 # --- 7 ---
 
 

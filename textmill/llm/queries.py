@@ -75,6 +75,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_dedup": neardup.ORACLE_SQL,
     "op5_quality_rules": quality.ORACLE_SQL,
+    "op6_url_filters": urls.ORACLE_SQL,
     "op7_line_dedup": linededup.ORACLE_SQL,
 }

@@ -103,3 +103,41 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
         return named.withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
     marked = named.join(bad.withColumn("bad", F.lit(True)), "host", "left")
     return marked.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("bad"), "block"), F.lit("allow")).alias("verdict"))
+
+
+def _rounds(name: str, seeds: str, src: str, dst: str) -> str:
+    """The rounds of ``propagate`` from ``seeds``, each a query of its own."""
+    parts = [f"{name}_share AS (SELECT {src} AS src, {dst} AS dst, weight / sum(weight) OVER (PARTITION BY {src}) AS share FROM edges)", f"{name}0 AS (SELECT host, {1 - DAMPING}::DOUBLE AS score FROM {seeds})"]
+    for k in range(ROUNDS):
+        moved = f"SELECT dst AS host, score * share * {DAMPING} AS score FROM {name}{k} JOIN {name}_share ON src = host"
+        parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT * FROM {name}0 UNION ALL {moved}) GROUP BY host)")
+    return ",\n".join(parts)
+
+
+def _fits(rule: tuple[str, str, str]) -> str:
+    return f"(host = '{rule[1]}' OR ends_with(host, '.{rule[1]}')) AND starts_with(path, '{rule[2]}')"
+
+
+def _first(column: int) -> str:
+    """CASE over the rules, the longest first: the rule's name (0) or verdict (1)."""
+    longest = sorted(RULES, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=True)
+    return "CASE " + " ".join(f"WHEN {_fits(r)} THEN '{(r[1] + r[2], r[0])[column]}'" for r in longest) + " END"
+
+
+_SQL_PARTS = r"""regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)"""
+_SQL_LOWER = f"translate({{}}, '{_UPPER}', '{_LOWER}')"
+
+ORACLE_SQL = f"""
+WITH p AS (
+  SELECT page_id, html, {_SQL_LOWER.format(_SQL_PARTS)} AS host, {_SQL_PARTS.replace("1)", "2)")} AS path FROM pages),
+named AS (SELECT page_id, host, path, {_first(0)} AS rule, {_first(1)} AS verdict FROM p),
+linked AS (SELECT page_id, host AS src, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '{_LINK.replace("'", "''")}', 1), lambda h: {_SQL_LOWER.format("h")}))) AS dst FROM p),
+edges AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS weight FROM linked WHERE src <> '' AND src <> dst GROUP BY src, dst),
+hosts AS (SELECT src AS host, '/' AS path FROM edges UNION SELECT dst, '/' FROM edges),
+blocked AS (SELECT host FROM hosts WHERE {" OR ".join(f"({_fits(r)})" for r in RULES if r[0] == "block" and r[2] == "/") or "FALSE"}),
+trusted AS (SELECT DISTINCT host FROM named WHERE verdict = 'allow' AND host NOT IN (SELECT host FROM blocked)),
+{_rounds("trust", "trusted", "src", "dst")},
+{_rounds("distrust", "blocked", "dst", "src")},
+bad AS (SELECT d.host FROM distrust{ROUNDS} d LEFT JOIN trust{ROUNDS} t ON d.host = t.host WHERE d.score >= {DISTRUST} AND d.score > coalesce(t.score, 0))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM named
+"""
