@@ -208,3 +208,17 @@ def test_streaming(spark, tmp_path):
     incremental.append_index(incremental.read_arrivals(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/documents")).count() == 2
     assert spark.read.parquet(str(tmp_path / "out/terms")).count() == 3
+
+
+def test_nearest_by_matrix_and_by_join(spark, monkeypatch):
+    rows = [(f"c{k:03d}", [float((k * j) % 7 - 3) for j in range(1, 9)]) for k in range(60)] + [("zero", [0.0] * 8), ("short", [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
+    made = index.Index(**{f: None for f in index.Index.__dataclass_fields__} | {"vectors": index.with_norm(vectors)})
+    asked = spark.createDataFrame([(1, [1.0, -2.0, 3.0, 0.0, 1.0, 1.0, -1.0, 2.0]), (2, [0.0] * 8), (3, [2.0, 1.0])], "query_id long, embedding array<float>")
+    found = lambda: {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["score"], 9)) for r in search.nearest(made, asked, 5).collect()}
+    by_matrix = found()
+    monkeypatch.setattr(search, "BROADCAST_NUMBERS", 1)
+    by_join = found()
+    assert by_matrix.keys() == by_join.keys() and len(by_matrix) == 11
+    assert [v[1] for _, v in sorted(by_matrix.items())] == [v[1] for _, v in sorted(by_join.items())]
+    assert by_matrix[3, 1][0] == "short" and [by_matrix[2, k][0] for k in range(1, 6)] == [by_join[2, k][0] for k in range(1, 6)]

@@ -6,6 +6,11 @@ read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,12 +97,52 @@ def vector_scores(index: Index, vectors: DataFrame) -> DataFrame:
     return pairs.select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q"), F.col("norm"), F.col("qn")).alias("score"))
 
 
+#: Numbers in the queries' vectors up to which they are sent to every task.
+BROADCAST_NUMBERS = 4_000_000
+
+
+def nearest(index: Index, vectors: DataFrame, limit: int) -> DataFrame:
+    """query_id, chunk_id, score, rank of the ``limit`` nearest chunks. Queries
+    of a checked size go to the tasks as a matrix; each batch of chunks is
+    multiplied with it and only its best (and what ties with them) is kept.
+    More queries than that are joined to the chunks."""
+    ids, rows, numbers = [], [], 0
+    for row in vectors.select("query_id", "embedding").toLocalIterator():
+        ids.append(row["query_id"])
+        rows.append(np.asarray(row["embedding"], dtype=np.float64))
+        numbers += len(rows[-1])
+        if numbers > BROADCAST_NUMBERS:
+            return top(vector_scores(index, vectors), limit)
+    asked = {}
+    for dim in {len(r) for r in rows}:
+        matrix = np.stack([r for r in rows if len(r) == dim])
+        length = np.sqrt((matrix**2).sum(axis=1))
+        asked[dim] = np.array([i for i, r in zip(ids, rows, strict=True) if len(r) == dim], dtype=np.int64), matrix / np.where(length > 0, length, 1)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            embedding, chunk_ids = batch.column("embedding"), batch.column("chunk_id")
+            sizes = pc.list_value_length(embedding).to_numpy(zero_copy_only=False)
+            for dim, (query_ids, matrix) in asked.items():
+                own = np.flatnonzero(sizes == dim)
+                if not len(own):
+                    continue
+                chunks = embedding.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dim).astype(np.float64)
+                length = np.sqrt((chunks**2).sum(axis=1))
+                scores = np.round((chunks / np.where(length > 0, length, 1)[:, None]) @ matrix.T, 12)
+                least = np.partition(scores, -limit, axis=0)[-limit] if len(own) > limit else np.full(len(query_ids), -np.inf)
+                at, q = np.nonzero(scores >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), chunk_ids.take(pa.array(own[at])), pa.array(scores[at, q])], names=["query_id", "chunk_id", "score"])
+
+    return top(index.vectors.select("chunk_id", "embedding").mapInArrow(run, "query_id long, chunk_id string, score double"), limit)
+
+
 def embed_queries(queries: DataFrame, embedder: Embedder) -> DataFrame:
     return embed_rows(queries.select("query_id", F.col("query").alias("text")), embedder)
 
 
 def vector(index: Index, queries: DataFrame, embedder: Embedder, limit: int = 20) -> DataFrame:
-    return described(index, top(vector_scores(index, embed_queries(queries, embedder)), limit))
+    return described(index, nearest(index, embed_queries(queries, embedder), limit))
 
 
 def minmax(values: DataFrame, column: str, by: str = "query_id") -> DataFrame:
@@ -130,7 +175,7 @@ def hybrid(index: Index, queries: DataFrame, embedder: Embedder, limit: int = 20
     """Each side gives its best ``POOL`` times ``limit``; that cut decides who
     can be fused, so a smaller limit is no prefix of a larger one."""
     term = top(bm25_scores(index, queries), POOL * limit)
-    near = top(vector_scores(index, embed_queries(queries, embedder)), POOL * limit)
+    near = nearest(index, embed_queries(queries, embedder), POOL * limit)
     return described(index, fuse(term, near, limit, alpha), queries)
 
 
