@@ -1,12 +1,13 @@
 """Near-duplicate documents by MinHash and a multi-index Hamming join.
 
 A document's signature has 128 symbols of 14 or 15 bits, taken from its
-min-hashes; four symbols fill a long, a chunk, and 32 chunks are a signature. Two signatures at most ``t``
-symbols apart are found by the pigeonhole principle: chunk errors e_1 .. e_32 are
-allowed so that the sum of (e_i + 1) exceeds t, hence some chunk differs in no
-more than its allowed errors. Chunks with e_i = 0 are looked up as they are, those
-with e_i = 1 once for each symbol left out. ``t`` is the smallest distance that a
-pair at the similarity threshold exceeds with a chance of at most ``MISS``.
+min-hashes; four symbols fill a long, a chunk, and 32 chunks are a signature.
+Two signatures at most ``t`` symbols apart are found by the pigeonhole principle:
+chunk errors e_1 .. e_32 are allowed so that the sum of (e_i + 1) exceeds t, hence
+some chunk differs in no more than its allowed errors. Chunks with e_i = 0 are
+looked up as they are, those with e_i = 1 once for each symbol left out. ``t`` is
+the smallest distance that a pair at the similarity threshold exceeds with a
+chance of at most ``MISS``.
 
 Documents with equal shingle sets are one node from the start. Every node is
 compared with one hub, the weightiest node of its buckets, on the full shingle

@@ -9,7 +9,6 @@ a threshold and exceeds its trust. All of it is DataFrame operations.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
