@@ -3,9 +3,12 @@ Arrow batches."""
 
 from __future__ import annotations
 
+import atexit
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,14 +37,57 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: What ``materialize`` has written and ``discard`` has not deleted.
+_written: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it again:
     lineage is cut, lost executors cost nothing that was written, and several
-    readers share one computation."""
+    readers share one computation. The files stay until ``discard`` or, for what
+    a result still reads, until the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    made = spark.read.schema(df.schema).parquet(path)
+    made._textmill_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables from ``materialize`` that nothing reads any more."""
+    for table in tables:
+        _delete(table._textmill_path)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in list(_written.items()):
+        if spark.sparkContext._jsc is not None:
+            _delete(path)
+
+
+def collector_off(run: Callable) -> Callable:
+    """A worker function that keeps many objects without cycles runs without
+    Python's cycle collector, which would walk them again and again."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return wrapped
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
