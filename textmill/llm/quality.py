@@ -2,10 +2,18 @@
 
 Each text is measured by SQL expressions alone. Documents that break a base rule
 are rejected. The share of rule-breaking documents of each host is shrunk towards
-the corpus by a beta prior that is fitted to the hosts' own shares (method of
-moments), so that a host of three documents is not judged by them alone. In
-hosts whose shrunk share is above ``HOST_SHARE`` a document has to pass the
-strict rules too; elsewhere the base rules decide.
+the corpus by a beta prior that is fitted to the hosts' own counts, so that a
+host of three documents is not judged by them alone. In hosts whose shrunk share
+is above ``HOST_SHARE`` a document has to pass the strict rules too; elsewhere
+the base rules decide.
+
+The prior is fitted by weighted moments of the beta-binomial. A host's share
+varies by m (1 - m) (r + (1 - r) / n): r is what hosts differ by, 1 / n what n
+draws differ by, and only r makes the prior. With weights w that sum to W, the
+squared distances from the weighted mean sum to m (1 - m) (r A + (1 - r) B) on
+average, where A sums w (1 - w / W) and B sums the same over n; that gives r. A
+first round weighs hosts by n; the second by n / (1 + (n - 1) r), so that a host
+with a third of all rows counts as one host and not as a third of them.
 """
 
 from __future__ import annotations
@@ -17,8 +25,10 @@ from .common import materialize, words
 
 #: Shrunk share of strict failures above which a host's documents are held to the strict rules.
 HOST_SHARE = 0.5
-#: Prior weight, in documents, where the hosts do not tell one (fewer than two, or all alike).
+#: Prior weight, in documents, where the hosts do not tell one (one host, or a document each).
 PRIOR_WEIGHT = 20.0
+#: Share of the variance between hosts, at least: hosts that differ by chance alone get a prior of this inverse weight.
+LEAST_BETWEEN = 1e-6
 WINDOW = 8
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -71,16 +81,39 @@ def strict_failed() -> Column:
     return base_failed() | (10 * F.col("n_symbols") > chars) | (chars > 15 * n) | (chars < 2 * n) | (10 * F.col("n_repeat_words") > n)
 
 
+def _between(hosts: DataFrame, r: float) -> tuple[float, float | None]:
+    """Weighted mean of the hosts' shares, and the share of the variance that
+    lies between hosts, with the weights that ``r`` gives; None where it cannot
+    be told."""
+    n, p = F.col("n_docs").cast("double"), F.col("n_failed") / F.col("n_docs")
+    w = n / (1 + (n - 1) * F.lit(float(r)))
+    sums = {"w": w, "w2": w * w, "wp": w * p, "wp2": w * p * p, "b": w / n, "b2": w * w / n}
+    found = hosts.agg(*[F.sum(v).alias(k) for k, v in sums.items()]).first()
+    if not found["w"]:
+        return 0.0, None
+    total, m = found["w"], found["wp"] / found["w"]
+    over, under = found["w"] - found["w2"] / total, found["b"] - found["b2"] / total
+    if not 1e-12 < m < 1 - 1e-12 or over - under < 1e-9 * total:
+        return m, None
+    return m, min(1.0, max(LEAST_BETWEEN, ((found["wp2"] - m * m * total) / (m * (1 - m)) - under) / (over - under)))
+
+
+def prior(hosts: DataFrame) -> tuple[float, float]:
+    """Mean and weight (in documents) of the beta prior of the hosts' shares
+    (n_docs, n_failed)."""
+    m, r = _between(hosts, 0.0)
+    if r is not None:
+        m, again = _between(hosts, r)
+        r = r if again is None else again
+    return m, PRIOR_WEIGHT if r is None else 1 / r - 1
+
+
 def host_verdicts(measured: DataFrame) -> DataFrame:
     """One row per host (null is a host of its own): n_docs, n_failed, the
-    shrunk share ``failure_rate`` and ``host_rejected``. The hosts' shares have
-    mean m and variance v, weighted alike; the prior's weight is
-    m (1 - m) / v - 1, or ``PRIOR_WEIGHT`` where that is not positive."""
+    shrunk share ``failure_rate`` and ``host_rejected``. Tasks count their
+    documents before hosts are shuffled."""
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("strict_failed").cast("long")).alias("n_failed"))
-    share = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(share).alias("m"), F.var_pop(share).alias("v")).select("m", F.when((F.col("v") > 0) & (F.col("m") * (1 - F.col("m")) > F.col("v")), F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(PRIOR_WEIGHT).alias("w"))
-    found = prior.first()
-    m, w = (found["m"] or 0.0, found["w"]) if found else (0.0, PRIOR_WEIGHT)
+    m, w = prior(hosts)
     rate = (F.col("n_failed") + F.lit(m * w)) / (F.col("n_docs") + F.lit(w))
     return hosts.select("host", "n_docs", "n_failed", rate.alias("failure_rate"), (rate > HOST_SHARE).alias("host_rejected"))
 
@@ -119,8 +152,14 @@ m AS (
 f AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m),
 s AS (SELECT *, (base_failed OR 10 * n_symbols > word_chars OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR 10 * n_repeat_words > n_words) AS strict_failed FROM f),
 h AS (SELECT host, count(*) AS n_docs, count(*) FILTER (WHERE strict_failed) AS n_failed FROM s GROUP BY host),
-q AS (SELECT avg(n_failed / n_docs::DOUBLE) AS mean, var_pop(n_failed / n_docs::DOUBLE) AS v FROM h),
-p AS (SELECT mean, CASE WHEN v > 0 AND mean * (1 - mean) > v THEN mean * (1 - mean) / v - 1 ELSE 20.0::DOUBLE END AS w FROM q),
+x AS (SELECT n_docs::DOUBLE AS n, n_failed / n_docs::DOUBLE AS p FROM h),
+s1 AS (SELECT sum(w) AS w, sum(w * w) AS w2, sum(w * p) AS wp, sum(w * p * p) AS wp2, sum(w / n) AS b, sum(w * w / n) AS b2 FROM (SELECT n, p, n AS w FROM x)),
+m1 AS (SELECT *, wp / w AS m, w - w2 / w AS o, b - b2 / w AS u FROM s1),
+r1 AS (SELECT CASE WHEN m > 1e-12 AND m < 1 - 1e-12 AND o - u >= 1e-9 * w THEN least(1, greatest(1e-6, ((wp2 - m * m * w) / (m * (1 - m)) - u) / (o - u))) END AS r, m FROM m1),
+s2 AS (SELECT sum(w) AS w, sum(w * w) AS w2, sum(w * p) AS wp, sum(w * p * p) AS wp2, sum(w / n) AS b, sum(w * w / n) AS b2 FROM (SELECT n, p, n / (1 + (n - 1) * coalesce(r, 0)) AS w FROM x, r1)),
+m2 AS (SELECT *, wp / w AS m, w - w2 / w AS o, b - b2 / w AS u FROM s2),
+r2 AS (SELECT CASE WHEN m > 1e-12 AND m < 1 - 1e-12 AND o - u >= 1e-9 * w THEN least(1, greatest(1e-6, ((wp2 - m * m * w) / (m * (1 - m)) - u) / (o - u))) END AS r, m FROM m2),
+p AS (SELECT r2.m AS mean, coalesce(1 / coalesce(r2.r, r1.r) - 1, 20) AS w FROM r1, r2),
 r AS (SELECT host, (n_failed + mean * w) / (n_docs + w) > 0.5 AS host_rejected FROM h, p)
 SELECT s.doc_id, s.host AS source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        r.host_rejected, (NOT base_failed AND NOT (r.host_rejected AND strict_failed)) AS kept
