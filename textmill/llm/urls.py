@@ -1,10 +1,14 @@
 """Judging urls by rules and by the link graph of hosts.
 
 Rules of host and path come first; the longest that fits a url decides. Other
-urls are judged by their host: trust flows from the hosts of allowed urls along
-links (personalised PageRank), distrust flows from blocked hosts against the
-links, to those that link to them. A host is blocked where its distrust reaches
-a threshold and exceeds its trust. All of it is DataFrame operations.
+urls are judged by their host, by two measures between 0 and 1. Trust is the
+share of a host's PageRank that comes from the hosts of allowed urls: their
+personalised PageRank over the one that starts everywhere. Distrust flows from
+blocked hosts against the links: it is the chance that a walk from the host,
+which stops at each step as PageRank's does, meets a blocked one. As each host
+divides by its own links, neither measure thins out where a blocked host has
+many linkers or a trusted one many links. A host is blocked where its distrust
+reaches a threshold and exceeds its trust. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -12,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: verdict, host, path of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, DISTRUST = 0.85, 12, 0.05
+DAMPING, ROUNDS = 0.85, 12
+#: Distrust that blocks a host: about half of its links lead to blocked ones.
+DISTRUST = 0.4
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -55,19 +61,44 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank (host, score) with the hosts of ``seeds`` as
-    restarts, each of mass 1; what reaches a host without outgoing edges leaves
-    the graph. Each round's scores are summed in the tasks before they are
-    shuffled, and written, so that lineage stays short."""
+def shares(edges: DataFrame) -> DataFrame:
+    """src, dst and the share of src's links that go to dst."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = materialize(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "links")
-    restart = seeds.select("host").distinct().select("host", F.lit(1.0 - damping).alias("score"))
+    return edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
+
+
+def trust_scores(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """host, trusted, rank and trust (their quotient) of every host of ``links``
+    (as ``shares`` gives them): personalised PageRank with the hosts of
+    ``seeds`` as restarts beside the one with all hosts, in one pass a round.
+    What reaches a host without links leaves the graph. Scores are summed in the
+    tasks before they are shuffled; a round is written, so lineage stays short."""
+    hosts = links.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
+    marked = hosts.join(seeds.select("host", F.lit(1.0).alias("seed")).distinct(), "host", "left")
+    restart = materialize(marked.select("host", (F.coalesce("seed", F.lit(0.0)) * (1 - damping)).alias("trusted"), F.lit(1 - damping).alias("rank")), "restart")
     scores = restart
     for _ in range(rounds):
-        moved = shares.join(scores, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        scores = materialize(restart.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score")), "rank")
-    return scores
+        met = links.join(scores, F.col("src") == F.col("host"))
+        moved = met.select(F.col("dst").alias("host"), *[(F.col(c) * F.col("share") * damping).alias(c) for c in ("trusted", "rank")])
+        before, scores = scores, materialize(restart.unionByName(moved).groupBy("host").agg(F.sum("trusted").alias("trusted"), F.sum("rank").alias("rank")), "rank")
+        if before is not restart:
+            discard(before)
+    return scores.withColumn("trust", F.col("trusted") / F.col("rank"))
+
+
+def distrust_scores(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """host and distrust of the hosts from which a walk along ``links`` can
+    meet one of ``seeds``, which have 1; each step before it counts ``damping``."""
+    start = seeds.select("host", F.lit(1.0).alias("distrust"), F.lit(True).alias("seed")).distinct()
+    scores = start
+    for k in range(rounds):
+        met = links.join(scores, F.col("dst") == F.col("host"))
+        moved = met.select(F.col("src").alias("host"), (F.col("distrust") * F.col("share") * damping).alias("distrust"), F.lit(False).alias("seed"))
+        summed = start.unionByName(moved).groupBy("host").agg(F.when(F.max("seed"), 1.0).otherwise(F.sum("distrust")).alias("distrust"))
+        before, scores = scores, materialize(summed, "distrust")
+        if k:
+            discard(before)
+    return scores.select("host", "distrust")
 
 
 def blocked_hosts(pages: DataFrame, rules: tuple = RULES) -> DataFrame | None:
@@ -76,17 +107,20 @@ def blocked_hosts(pages: DataFrame, rules: tuple = RULES) -> DataFrame | None:
     trust are hosts with an allowed url that are not among those."""
     edges = materialize(host_edges(pages), "hosts")
     if edges.isEmpty():
+        discard(edges)
         return None
     whole = tuple(r for r in rules if r[2] == "/")
     host, path = host_and_path(F.col("url"))
     judged = pages.select(host.alias("host"), rule_of(host, path, rules)[1].alias("verdict")).distinct()
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
-    blocked = nodes.filter(rule_of(F.col("host"), F.lit("/"), whole)[1] == "block")
+    blocked = materialize(nodes.filter(rule_of(F.col("host"), F.lit("/"), whole)[1] == "block"), "blocked")
     trusted = judged.filter(F.col("verdict") == "allow").select("host").distinct().join(blocked, "host", "left_anti")
-    trust = propagate(edges, trusted).withColumnRenamed("score", "trust")
-    distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), blocked).withColumnRenamed("score", "distrust")
-    both = distrust.join(trust, "host", "left")
-    return both.filter((F.col("distrust") >= DISTRUST) & (F.col("distrust") > F.coalesce("trust", F.lit(0.0)))).select("host")
+    links = materialize(shares(edges), "links")
+    distrust = distrust_scores(links, blocked).filter(F.col("distrust") >= DISTRUST)
+    both = distrust.join(trust_scores(links, trusted), "host", "left")
+    bad = materialize(both.filter(F.col("distrust") > F.coalesce("trust", F.lit(0.0))).select("host"), "bad")
+    discard(edges, blocked, links)
+    return bad
 
 
 def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
@@ -104,12 +138,10 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     return marked.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("bad"), "block"), F.lit("allow")).alias("verdict"))
 
 
-def _rounds(name: str, seeds: str, src: str, dst: str) -> str:
-    """The rounds of ``propagate`` from ``seeds``, each a query of its own."""
-    parts = [f"{name}_share AS (SELECT {src} AS src, {dst} AS dst, weight / sum(weight) OVER (PARTITION BY {src}) AS share FROM edges)", f"{name}0 AS (SELECT host, {1 - DAMPING}::DOUBLE AS score FROM {seeds})"]
-    for k in range(ROUNDS):
-        moved = f"SELECT dst AS host, score * share * {DAMPING} AS score FROM {name}{k} JOIN {name}_share ON src = host"
-        parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT * FROM {name}0 UNION ALL {moved}) GROUP BY host)")
+def _rounds(name: str, start: str, step: str) -> str:
+    """The rounds of a propagation, each a query of its own; ``step`` names the scores before it {before}."""
+    parts = [f"{name}0 AS ({start})"]
+    parts += [f"{name}{k + 1} AS MATERIALIZED ({step.format(before=f'{name}{k}')})" for k in range(ROUNDS)]
     return ",\n".join(parts)
 
 
@@ -135,8 +167,9 @@ edges AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS weight FROM linked W
 hosts AS (SELECT src AS host, '/' AS path FROM edges UNION SELECT dst, '/' FROM edges),
 blocked AS (SELECT host FROM hosts WHERE {" OR ".join(f"({_fits(r)})" for r in RULES if r[0] == "block" and r[2] == "/") or "FALSE"}),
 trusted AS (SELECT DISTINCT host FROM named WHERE verdict = 'allow' AND host NOT IN (SELECT host FROM blocked)),
-{_rounds("trust", "trusted", "src", "dst")},
-{_rounds("distrust", "blocked", "dst", "src")},
-bad AS (SELECT d.host FROM distrust{ROUNDS} d LEFT JOIN trust{ROUNDS} t ON d.host = t.host WHERE d.score >= {DISTRUST} AND d.score > coalesce(t.score, 0))
+shares AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges),
+{_rounds("trust", f"SELECT host, CASE WHEN host IN (SELECT host FROM trusted) THEN {1 - DAMPING}::DOUBLE ELSE 0 END AS t, {1 - DAMPING}::DOUBLE AS r FROM hosts", f"SELECT host, sum(t) AS t, sum(r) AS r FROM (SELECT * FROM trust0 UNION ALL SELECT dst, t * share * {DAMPING}, r * share * {DAMPING} FROM {{before}} JOIN shares ON src = host) GROUP BY host")},
+{_rounds("distrust", "SELECT DISTINCT host, 1::DOUBLE AS d FROM blocked", f"SELECT host, CASE WHEN max(seed) = 1 THEN 1 ELSE sum(d) END AS d FROM (SELECT host, d, 1 AS seed FROM distrust0 UNION ALL SELECT src, d * share * {DAMPING}, 0 FROM {{before}} JOIN shares ON dst = host) GROUP BY host")},
+bad AS (SELECT d.host FROM distrust{ROUNDS} d LEFT JOIN trust{ROUNDS} t ON d.host = t.host WHERE d >= {DISTRUST} AND d > coalesce(t / r, 0))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM named
 """
