@@ -26,14 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import slices
+from .common import collector_off, discard, materialize, slices
 
 #: Distinct words, the most frequent first, that are folded in Spark and sent to the workers.
 MEMO_WORDS = 1 << 16
+#: Steps of the histogram of counts for each doubling.
+STEPS = 16
 #: Bytes of the longest of them.
 MEMO_BYTES = 48
 #: Further words that a worker remembers before it starts afresh.
-LOCAL_WORDS = 300_000
+LOCAL_WORDS = 500_000
 
 _NONE = (1 << 31) - 1
 
@@ -110,6 +112,7 @@ def count_words(texts: Column | str, docs: DataFrame, pattern: str) -> DataFrame
     """Distinct words of all texts and how often each occurs: a task's words
     are counted before they are shuffled."""
 
+    @collector_off
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, found = splitter(pattern), Counter()
 
@@ -130,11 +133,29 @@ def count_words(texts: Column | str, docs: DataFrame, pattern: str) -> DataFrame
     return docs.select(texts).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(words: DataFrame, most: int = MEMO_WORDS) -> DataFrame:
+    """About the ``most`` frequent words (word, n), without a sort of all words:
+    a histogram of their counts, at most ``STEPS`` rows for each doubling,
+    tells from which count on they are few enough. Of the step below, a share
+    by hash fills up the rest, so that many words of one count are no obstacle.
+    ``words`` is read twice and should be written."""
+    short = words.filter(F.octet_length("word") <= MEMO_BYTES).withColumn("step", F.floor(F.log2("n") * STEPS))
+    above, last, share = 0, None, 0.0
+    for row in short.groupBy("step").count().orderBy(F.desc("step")).collect():
+        if above + row["count"] > most:
+            last, share = row["step"], 0.98 * (most - above) / row["count"]
+            break
+        above += row["count"]
+    if last is None:
+        return short.drop("step")
+    part = (F.col("step") == last) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return short.filter((F.col("step") > last) | part).drop("step")
+
+
 def frequent_ids(words: DataFrame, ranks: RankMap, most: int = MEMO_WORDS) -> DataFrame:
-    """The ``most`` frequent words (ties: the smaller word) with their ids,
-    folded by Spark's higher-order functions."""
-    top = words.filter(F.octet_length("word") <= MEMO_BYTES).orderBy(F.desc("n"), "word").limit(most).select("word")
-    spread = top.repartition(top.sparkSession.sparkContext.defaultParallelism)
+    """About the ``most`` frequent words with their ids, folded by Spark's
+    higher-order functions."""
+    spread = frequent(words, most).select("word").repartition(words.sparkSession.sparkContext.defaultParallelism)
     return spread.select("word", fold_merges(F.col("word"), ranks).alias("ids"))
 
 
@@ -228,11 +249,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, result: type[Digests]
     repeated rows give repeated results; other columns are ignored."""
     spark = docs.sparkSession
     ranks = load_ranks(ranks_path)
-    folded = frequent_ids(count_words("text", docs, pattern), RankMap(spark, ranks), memo_words).toArrow().to_pydict()
+    words = materialize(count_words("text", docs, pattern), "words")
+    folded = frequent_ids(words, RankMap(spark, ranks), memo_words).toArrow().to_pydict()
+    discard(words)
     table = dict(zip(folded["word"], map(tuple, folded["ids"]), strict=True))
     sent = spark.sparkContext.broadcast((table, ranks))
     schema = pa.schema([("doc_id", pa.int64()), *result.fields])
 
+    @collector_off
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, words = splitter(pattern), WordTable(*sent.value, result.word)
         for batch in slices(batches):
