@@ -3,9 +3,11 @@ and long texts, ties, repeated rows and clashing column names."""
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -18,7 +20,7 @@ from tokenizers import Tokenizer
 from textmill.llm import ann, bpe, langid, linededup, neardup, packing, pages, pii, quality, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long"
-EDGES = [None, "", " ", "\n\n", "one", "one two", "ONE two", "Ünï cödé 😀 naïve", "x" * 30_000, "a b " * 9_000, "tab\tand\x0bvertical \x85 nbsp\xa0end", "don't we'll 12.5% <|endoftext|>"]
+EDGES = [None, "", " ", "\n\n", "one", "one two", "ONE two", "Ünï cödé 😀 naïve", "x" * 30_000, "a b " * 9_000, "tab\tand\x0bvertical \x85 nbsp\xa0end", "don't we'll 12.5% <|endoftext|>", "a <|startoftext|> b x<|startoftext|>Y<|endoftext|>! <|ENDOFTEXT|> <|end oftext|>"]
 
 
 def documents(spark, texts, sources=None):
@@ -37,12 +39,75 @@ def words_of(r, n, vocabulary=400):
 # --- 1 ---
 
 
+def brute_entropy(train, text, order):
+    """Interpolated Kneser-Ney by dictionaries of tuples."""
+    chars = lambda t: tuple(langid.characters(t).tolist())
+    grams = [Counter() for _ in range(order + 1)]
+    for c in map(chars, train):
+        for n in range(1, order + 1):
+            grams[n].update(c[i : i + n] for i in range(1 if n == 1 else 0, len(c) - n + 1))
+    used = {order: grams[order]}
+    for n in range(order - 1, 0, -1):
+        used[n] = Counter(g[1:] for g in grams[n + 1])
+        used[n].update({g: 1 for g in grams[n] if not used[n][g]})  # what only begins a text
+    floor = 1 / max(1000, 4 * len(grams[1]))
+
+    def discount(n):
+        one, two = (sum(v == k for v in used[n].values()) for k in (1, 2))
+        return min(0.95, max(0.1, one / (one + 2 * two))) if one + two else 0.5
+
+    def p(context, c):
+        n = len(context) + 1
+        lower = p(context[1:], c) if context else floor
+        after = {g: v for g, v in used[n].items() if g[:-1] == context}
+        if not after:
+            return lower
+        total, d = sum(after.values()), discount(n)
+        return max(after.get((*context, c), 0) - d, 0) / total + d * len(after) / total * lower
+
+    c = chars(text)
+    return -sum(math.log(p(c[max(0, i - order + 1) : i], c[i])) for i in range(1, len(c))) / (len(c) - 1)
+
+
+def test_language_models_are_kneser_ney(monkeypatch):
+    r = random.Random(31)
+    make = lambda s, n: " ".join("".join(r.choice(s) for _ in range(r.randint(1, 5))) for _ in range(n))
+    texts = {f"l{k}": [make("abcdefgh"[k : k + 4], 12) for _ in range(9)] for k in range(5)}
+    monkeypatch.setattr(langid, "BLOCK", 2)
+    models = langid.fit(texts, order=3)
+    for text in [texts["l1"][0], texts["l3"][4], "abc hgf", "a", "zz top 12", make("abcdefgh", 20)]:
+        expected = [brute_entropy([t for k, t in enumerate(texts[lang]) if (k + 1) % langid.HELD], text, 3) for lang in models.langs]
+        assert np.allclose(langid.cross_entropies(models, text), expected, atol=2e-5), text
+
+
 def test_language_models_are_distributions():
-    models = langid.fit({"a": ["abab abba"] * 3, "b": ["cdcd dccd"] * 3}, order=3)
-    level = models.levels[0]
-    known = np.exp(level[1].astype(float)).sum(axis=0)
+    models = langid.fit({"a": ["abab abba"] * 6, "b": ["cdcd dccd"] * 6}, order=3)
+    levels = models.blocks[0].levels
+    known = np.exp(levels[0][1].astype(float)).sum(axis=0)
     assert ((known > 0.5) & (known <= 1.0001)).all()
-    assert all((np.diff(k.astype(object)) > 0).all() for k, _, _ in models.levels)
+    assert all((np.diff(k.astype(object)) > 0).all() for k, _, _ in levels)
+
+
+def test_any_number_of_languages(spark):
+    letters = [chr(0x4E00 + 7 * k) + chr(0x4E03 + 7 * k) for k in range(80)]
+    rows = [(i, " ".join(letters[i % 80][(i * j) % 2] * 3 for j in range(20)), f"l{i % 80:02d}") for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.sample(docs)
+    assert len(learned) == 80 and learned == langid.sample(docs.withColumn("doc_id", F.lit(1)).repartition(3))
+    models = langid.fit(learned)
+    assert len(models.blocks) == 5 and all(x["lang_pred"] == x["lang"] for x in langid.predict(docs, models, "lang").collect())
+    assert sum(map(len, langid.sample(docs, most_bytes=1).values())) == 80 == sum(map(len, langid.sample(docs, per_lang=1).values()))
+
+
+def test_rejection_is_calibrated_on_unseen_texts():
+    r = random.Random(32)
+    make = lambda s, n: " ".join("".join(r.choice(s) for _ in range(r.randint(1, 3))) for _ in range(n))
+    parts = {"en": ["th", "er", "ing", "on"], "de": ["sch", "ung", "ä", "ein"]}
+    models = langid.fit({lang: [make(p, 60) for _ in range(200)] for lang, p in parts.items()})
+    own = [langid.classify(models, make(parts[lang], n)) for lang in parts for n in (3, 10, 60, 400) for _ in range(100)]
+    assert sum(x[3] for x in own) <= 0.05 * len(own)
+    other = [langid.classify(models, make(["żó", "łć", "gę", "ślą"], n)) for n in (3, 10, 60) for _ in range(30)]
+    assert all(x[3] for x in other)
 
 
 def test_languages_are_told_apart(spark):
@@ -67,7 +132,6 @@ def test_languages_are_told_apart(spark):
 
 def check_packed(rows, texts):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = {}
     for x in rows:
         got.setdefault(x["doc_id"], []).append((x["piece"], x["start"], x["length"], x["ids_crc32"]))
@@ -251,6 +315,33 @@ def test_hosts_are_shrunk_and_rejected(spark):
     assert not found[0]["kept"] and found[0]["host_rejected"] and found[40]["kept"] and not found[80]["host_rejected"] and found[81]["kept"]
 
 
+def test_small_hosts_that_differ_by_chance_are_not_rejected(spark):
+    r = random.Random(21)
+    hosts = [(f"h{i}", n, sum(r.random() < 0.1 for _ in range(n))) for i, n in enumerate([1] * 2000 + [3] * 200)]
+    table = spark.createDataFrame(hosts, "host string, n_docs long, n_failed long")
+    m, w = quality.prior(table)
+    assert w > 100 and all((f + m * w) / (n + w) < 0.3 for _, n, f in hosts)
+    differ = [(f"h{i}", n, sum(r.random() < p for _ in range(n))) for i in range(2000) for n, p in [(r.choice([1, 1, 2, 3, 10, 50]), r.betavariate(1, 9))]]
+    _, w = quality.prior(spark.createDataFrame([*differ, ("hot", 20_000, 16_000)], table.schema))
+    assert 7 < w < 14  # the hosts were drawn with 10
+    assert [quality.prior(spark.createDataFrame(x, table.schema)) for x in ([], [("a", 10, 2)], [("a", 1, 1), ("b", 1, 0)])] == [(0.0, 20.0), (0.2, 20.0), (0.5, 20.0)]
+
+
+def test_hosts_in_sql(spark, tmp_path):
+    r = random.Random(22)
+    junk = lambda i: " ".join(f"#*|x{i}k{k}" for k in range(40))
+    rows = []
+    for h in range(40):
+        share = r.choice([0.0, 0.1, 0.8])
+        rows += [(len(rows) + k, junk(len(rows) + k) if r.random() < share else words_of(r, 60, 5000), f"h{h}" if h else None) for k in range(r.choice([1, 2, 5, 30]))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    expected = {tuple(x) for x in con.execute(f"SELECT doc_id, base_failed, host_rejected, kept FROM ({quality.ORACLE_SQL})").fetchall()}
+    found = {tuple(x) for x in quality.judge(spark.read.parquet(f"{tmp_path}/documents")).select("doc_id", "base_failed", "host_rejected", "kept").collect()}
+    assert found == expected and {(b, h, k) for _, b, h, k in found} == {(False, False, True), (False, True, True), (False, True, False)}
+
+
 # --- 6 ---
 
 
@@ -270,15 +361,33 @@ def test_link_graph(spark):
     rows = [(1, "http://spam.com/", link("bad1.net", "bad2.net")), (2, "http://clean.org/fr/", link("friend.com")), (3, "http://friend.com/", link("clean.org")), (4, "http://mixed.com/", link("bad1.net", "friend.com")), (5, "http://bad1.net/", ""), (6, "http://clean.org/fr/2", link("mixed.com"))]
     found = {x["page_id"]: x["verdict"] for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found[1] == "block" and found[5] == "block" and found[3] == "allow" and found[2] == "allow"
-    edges = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "a", 1.0), ("c", "d", 1.0)]
-    got = {x["host"]: x["score"] for x in urls.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a",)], "host string"), rounds=5).collect()}
-    rank = {"a": 0.15}
+
+
+def test_link_scores(spark):
+    edges = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "a", 1.0), ("c", "d", 1.0), ("e", "d", 1.0)]
+    links = urls.shares(spark.createDataFrame(edges, "src string, dst string, weight double"))
+    share = {(s, d): w / sum(x[2] for x in edges if x[0] == s) for s, d, w in edges}
+    ranked = {}
+    for name, seeds in (("trusted", "a"), ("rank", "abcde")):
+        ranked[name] = scores = {h: 0.15 * (h in seeds) for h in "abcde"}
+        for _ in range(5):
+            scores = {h: 0.15 * (h in seeds) + sum(0.85 * scores[s] * x for (s, d), x in share.items() if d == h) for h in scores}
+        ranked[name] = scores
+    got = {x["host"]: x for x in urls.trust_scores(links, spark.createDataFrame([("a",)], "host string"), rounds=5).collect()}
+    assert got.keys() == set("abcde") and all(abs(got[h][n] - ranked[n][h]) < 1e-12 for n in ranked for h in got) and all(0 <= x["trust"] <= 1 for x in got.values())
+    walk = {"d": 1.0}
     for _ in range(5):
-        fresh = {"a": 0.15}
-        for s, d, w in edges:
-            fresh[d] = fresh.get(d, 0) + 0.85 * rank.get(s, 0) * w / sum(x[2] for x in edges if x[0] == s)
-        rank = fresh
-    assert got.keys() == rank.keys() and all(abs(got[h] - rank[h]) < 1e-12 for h in rank)
+        walk = {h: 1.0 if h == "d" else sum(0.85 * x * walk.get(d, 0) for (s, d), x in share.items() if s == h) for h in "abcde"}
+    got = {x["host"]: x["distrust"] for x in urls.distrust_scores(links, spark.createDataFrame([("d",)], "host string"), rounds=5).collect()}
+    assert all(abs(got.get(h, 0) - walk[h]) < 1e-12 for h in walk)
+
+
+@pytest.mark.parametrize("linkers", [3, 10, 1000])
+def test_a_large_link_farm_is_condemned(spark, linkers):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/">x</a>' for h in hosts)
+    rows = [(i, f"http://farm{i}.com/", link("bad.net")) for i in range(linkers)] + [(-1, "http://portal.com/", link("bad.net", *[f"site{k}.com" for k in range(9)])), (-2, "http://clean.org/fr/", link("portal.com"))]
+    found = {x["page_id"]: x["verdict"] for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {found[i] for i in range(linkers)} == {"block"} and found[-1] == found[-2] == "allow"
 
 
 def test_link_graph_in_sql(spark, tmp_path):

@@ -1,17 +1,21 @@
 """Language identification by character language models.
 
 For each language an interpolated Kneser-Ney model of character n-grams is
-estimated from labelled texts. All models live in one set of sorted hash arrays,
-a level for each n-gram length: hashes of n-grams in ascending order, a row of
-log-probabilities and of back-off weights (one column per language) for each. A
-text's languages are ranked by length-normalised cross-entropy, the lowest is
-chosen; a text whose best cross-entropy lies beyond what ``REJECT_QUANTILE`` of
-the language's own training texts reach is marked as rejected.
+estimated from labelled texts. Models live in sorted hash arrays, a level for
+each n-gram length: hashes of n-grams in ascending order, a row of
+log-probabilities and of back-off weights (one column per language) for each;
+``BLOCK`` languages share the arrays, whatever the number of languages. A text's
+languages are ranked by length-normalised cross-entropy, the lowest is chosen.
+
+Rejection is calibrated on labelled texts that the models have not seen: a text
+is rejected beyond the cross-entropy that ``REJECT_QUANTILE`` of its language's
+own held-out texts stay under. Short texts vary more, so the limit widens with
+the inverse root of the length, as pieces of the same texts tell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,32 +23,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import collector_off, slices
 
 #: Length of the longest n-grams.
 ORDER = 4
-#: Labelled documents that a language's model is estimated from: those of the smallest id hashes.
+#: Labelled documents that a language's model is estimated and calibrated from, at most.
 SAMPLE_DOCS = 300
-#: Languages at most, those with the most labelled documents.
-LANGUAGES = 64
-#: Share of training texts whose cross-entropy a language's own texts may not exceed.
-REJECT_QUANTILE = 0.995
+#: Bytes of these at which no further document is added, so that the driver's share is bounded.
+SAMPLE_BYTES = 1_500_000
+#: Of them every so many-th calibrates, in the order of their hashes.
+HELD = 5
+#: Share of a language's held-out texts that are not rejected, and lengths of pieces that tell how limits widen.
+REJECT_QUANTILE, PIECES = 0.995, (16, 64, 256)
+#: Languages that share one set of arrays.
+BLOCK = 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = 0x110000
 
 
 @dataclass
-class Models:
+class Block:
     """levels[k]: sorted hashes of (k+1)-grams, their log-probabilities and the
     logs of the back-off weights of these n-grams as contexts, a column per
     language; unseen[l]: log-probability of a character never seen."""
 
-    langs: list[str]
     levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     unseen: np.ndarray
+
+
+@dataclass
+class Models:
+    """Languages in order, their blocks, and a row per language of mean
+    cross-entropy, widening and least limit (infinite where nothing is known)."""
+
+    langs: list[str]
+    blocks: list[Block]
     limits: np.ndarray
 
+    def limit(self, lang: int, length: int) -> float:
+        mean, widening, least = self.limits[lang]
+        return max(least, mean + widening / max(1, length) ** 0.5)
+
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
@@ -147,22 +167,20 @@ def _kneser_ney(counts: list[tuple[np.ndarray, ...]]) -> tuple[list[tuple[np.nda
     return out, start
 
 
-def fit(texts: dict[str, list[str]], order: int = ORDER) -> Models:
-    """Models of the languages from their texts; texts without a letter add
-    nothing. A level holds the n-grams of all languages. What one language has
-    not seen of another's gets its back-off weight times its probability of the
-    suffix, so that a single row answers for all languages."""
-    langs = sorted(texts)
-    clean = {lang: [t for t in texts[lang] if t and has_letter(t)] for lang in langs}
-    counted = [_counts(clean[lang] or ["a"], order) for lang in langs]
+def _block(samples: list[list[str]], order: int) -> Block:
+    """A level holds the n-grams of all languages of the block. What one
+    language has not seen of another's gets its back-off weight times its
+    probability of the suffix, so that a single row answers for all of them and
+    no language's answer depends on the others."""
+    counted = [_counts(own or ["a"], order) for own in samples]
     each = [_kneser_ney(c) for c in counted]
     unseen = np.log(np.array([start for _, start in each])).astype(np.float32)
     levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for n in range(order if langs else 0):
+    for n in range(order):
         keys, first = np.unique(np.concatenate([c[n][0] for c in counted]), return_index=True)
         ctx, suf = (np.concatenate([c[n][k] for c in counted])[first] for k in (1, 2))
-        logp = np.full((len(keys), len(langs)), np.nan, np.float32)
-        back = np.zeros((len(keys), len(langs)), np.float32)
+        logp = np.full((len(keys), len(samples)), np.nan, np.float32)
+        back = np.zeros((len(keys), len(samples)), np.float32)
         for k, (model, _) in enumerate(each):
             logp[np.searchsorted(keys, model[n][0]), k] = np.log(model[n][1])
             if n + 1 < order:
@@ -179,13 +197,31 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Models:
             at = np.minimum(np.searchsorted(below, ctx), len(below) - 1)
             fill = fill + np.where((below[at] == ctx)[:, None], low_back[at], 0)
         levels.append((keys, np.where(np.isnan(logp), fill, logp).astype(np.float32), back))
-    models = Models(langs, levels, unseen, np.full(len(langs), np.inf))
-    for k, lang in enumerate(langs):
-        if clean[lang]:
-            models.limits[k] = float(np.quantile([cross_entropies(models, t)[k] for t in clean[lang]], REJECT_QUANTILE)) + 0.25
+    return Block(levels, unseen)
+
+
+def fit(texts: dict[str, list[str]], order: int = ORDER) -> Models:
+    """Models of the languages from their texts, and limits from every
+    ``HELD``-th of these, which the models do not see. Texts without a letter
+    add nothing; a language of fewer than ``HELD`` texts rejects none."""
+    langs = sorted(texts)
+    clean = [[t for t in texts[lang] if t and has_letter(t)] for lang in langs]
+    seen = [[t for k, t in enumerate(own) if (k + 1) % HELD] for own in clean]
+    models = Models(langs, [_block(seen[i : i + BLOCK], order) for i in range(0, len(langs), BLOCK)], np.tile([0.0, 0.0, np.inf], (len(langs), 1)))
+    for k, own in enumerate(clean):
+        if held := own[HELD - 1 :: HELD]:
+            models.limits[k] = _calibrated(held, lambda t, k=k: float(cross_entropies(models, t)[k]))
     return models
 
 
+def _calibrated(held: list[str], entropy: Callable[[str], float]) -> tuple[float, float, float]:
+    whole = np.array([entropy(t) for t in held])
+    mean = float(whole.mean())
+    pieces = [p for n in PIECES for t in held for p in (t[i : i + n] for i in range(0, min(len(t), 32 * n), n)) if has_letter(p)]
+    wide = np.quantile([(entropy(p) - mean) * len(p) ** 0.5 for p in pieces], REJECT_QUANTILE)
+    return mean, max(0.0, float(wide)), float(np.quantile(whole, REJECT_QUANTILE))
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
@@ -194,26 +230,31 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def cross_entropies(models: Models, text: str) -> np.ndarray:
     """Nats per character of a text in each language. Of every character the
-    longest n-gram that any language has seen is looked up; where there is none
-    the context's back-off weight is added and the next shorter one is tried."""
+    longest n-gram that any language of the block has seen is looked up; where
+    there is none the context's back-off weight is added and the next shorter
+    one is tried."""
     chars = characters(text)
-    order = len(models.levels)
-    h = hashes(chars, order)
-    total = np.zeros(len(models.langs))
-    open_ = np.arange(order - 1, len(chars)) if order > 1 else np.arange(1, len(chars))
+    h = hashes(chars, len(models.blocks[0].levels))
+    return np.concatenate([_total(block, h, len(chars)) for block in models.blocks]) / -max(1, len(chars) - 1)
+
+
+def _total(block: Block, h: list[np.ndarray], n_chars: int) -> np.ndarray:
+    order = len(block.levels)
+    total = np.zeros(len(block.unseen))
+    open_ = np.arange(order - 1, n_chars) if order > 1 else np.arange(1, n_chars)
     for n in range(order - 1, -1, -1):
-        keys, logp, _ = models.levels[n]
+        keys, logp, _ = block.levels[n]
         at, there = _find(keys, h[n][open_])
         total += logp[at[there]].sum(axis=0, dtype=np.float64)
         open_ = open_[~there]
         if n == 0:
-            total += len(open_) * models.unseen.astype(np.float64)
+            total += len(open_) * block.unseen.astype(np.float64)
             break
-        at, there = _find(models.levels[n - 1][0], h[n - 1][open_ - 1])
-        total += models.levels[n - 1][2][at[there]].sum(axis=0, dtype=np.float64)
-        if 1 <= n - 1 < len(chars):
+        at, there = _find(block.levels[n - 1][0], h[n - 1][open_ - 1])
+        total += block.levels[n - 1][2][at[there]].sum(axis=0, dtype=np.float64)
+        if 1 <= n - 1 < n_chars:
             open_ = np.r_[n - 1, open_]
-    return -total / max(1, len(chars) - 1)
+    return total
 
 
 def classify(models: Models, text: str | None) -> tuple[str, float, float | None, bool]:
@@ -225,28 +266,28 @@ def classify(models: Models, text: str | None) -> tuple[str, float, float | None
     entropy = cross_entropies(models, text)
     best = int(np.argmin(entropy))
     score = 1.0 / float(np.exp(np.maximum(-20 * (entropy - entropy[best]), -700)).sum())
-    return models.langs[best], score, float(entropy[best]), bool(entropy[best] > models.limits[best])
-
-
-def sample(labelled: DataFrame, per_lang: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> dict[str, list[str]]:
-    """Texts to learn from: of each of the ``languages`` most frequent labels
-    the ``per_lang`` documents with the smallest hashes of doc_id and text. The
-    ids are limited in every task before they are shuffled, so the hottest
-    language moves no more rows than any other; texts are read in a second pass
-    for the chosen ids alone. Null texts and labels are left out."""
-    rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    named = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    if not named:
+    return models.langs[best], score, float(entropy[best]), bool(entropy[best] > models.limit(best, len(text)))
+
+
+def sample(labelled: DataFrame, per_lang: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
+    """Texts to learn from: of each label the ``per_lang`` different texts with
+    the smallest hashes, as long as those before them have fewer than
+    ``most_bytes`` bytes. Nothing but text and label is looked at. Hashes are
+    limited in every task before they are shuffled, so the hottest language
+    moves no more rows than any other; texts are read in a second pass for the
+    chosen hashes alone. Null texts and labels are left out."""
+    rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    hashed = rows.select("lang", "h", F.octet_length("text").cast("long").alias("size"))
+    # equal texts share a hash: dense_rank counts them as one, and is limited in the tasks as well
+    near = hashed.withColumn("k", F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= per_lang).dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    fitting = near.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).filter(F.col("before") < most_bytes)
+    most = {r["lang"]: r["most"] for r in fitting.groupBy("lang").agg(F.max("h").alias("most")).collect()}
+    if not most:
         return {}
-    rows = rows.filter(F.col("lang").isin(named))
-    ranked = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"))
-    best = ranked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= per_lang).groupBy("lang").agg(F.max("h").alias("most"))
-    most = {r["lang"]: r["most"] for r in best.collect()}
-    under = F.lit(False)
-    for lang, h in most.items():
-        under = under | ((F.col("lang") == lang) & (F.col("h") <= F.lit(h)))
-    chosen = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).filter(under).dropDuplicates(["lang", "h"]).toArrow().to_pydict()
-    out: dict[str, list[str]] = {lang: [] for lang in named}
+    limit = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])
+    chosen = rows.filter(F.col("h") <= limit[F.col("lang")]).dropDuplicates(["lang", "h"]).toArrow().to_pydict()
+    out: dict[str, list[str]] = {lang: [] for lang in most}
     for _, lang, text in sorted(zip(chosen["h"], chosen["lang"], chosen["text"], strict=True)):
         out[lang].append(text)
     return out
@@ -256,10 +297,11 @@ def predict(docs: DataFrame, models: Models, *keep: str) -> DataFrame:
     """``keep`` (doc_id and such), lang_pred, score, cross_entropy and rejected
     for every row. Only ``text`` is looked at, whole; equal texts get equal
     answers, ties go to the language that sorts first."""
-    sent = docs.sparkSession.sparkContext.broadcast((models.langs, models.levels, models.unseen, models.limits))
+    sent = docs.sparkSession.sparkContext.broadcast((models.langs, models.blocks, models.limits))
     kept = docs.select(*keep, "text")
     result = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("rejected", pa.bool_())])
 
+    @collector_off
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Models(*sent.value)
         for batch in slices(batches):
