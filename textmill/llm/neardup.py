@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import collector_off, discard, materialize, slices
 
 SYMBOLS, PER_CHUNK = 128, 4
 CHUNKS = SYMBOLS // PER_CHUNK
@@ -40,12 +40,14 @@ CHUNKS = SYMBOLS // PER_CHUNK
 MISS = 1e-5
 #: Shingles in which a node differs from its hub, at most, to be compared with others by these; beyond, by texts.
 DIFFERENCES = 512
+#: Pairs of one document that meet in a task; its text is copied for each further such part.
+SPLIT = 256
 #: Orders by which buckets suggest members of their largest part.
 SUGGESTIONS = 6
 #: Words whose hashes a worker remembers before it starts afresh.
 MEMO_WORDS = 400_000
 
-_SKETCH = "doc_id long, n_shingles long, d0 long, d1 long, s array<long>"
+_SKETCH = "doc_id long, t long, n_shingles long, d0 long, d1 long, s array<long>"
 
 
 class _Words(dict):
@@ -99,8 +101,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, a digest of the set (d0, d1) and the signature of every row."""
+    """doc_id, a hash of the text (t), n_shingles, a digest of the set (d0, d1)
+    and the signature of every row."""
 
+    @collector_off
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in slices(batches, 128):
@@ -108,9 +112,13 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             digests = np.array([np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in sets]).reshape(-1, 2)
             symbols = signatures(sets)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * CHUNKS + 1, CHUNKS, dtype=np.int32)), pa.array(symbols.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), flat], names=["doc_id", "n_shingles", "d0", "d1", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), flat], names=["doc_id", "t", "n_shingles", "d0", "d1", "s"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SKETCH)
+    return _texts(docs).mapInArrow(run, _SKETCH)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
 
 
 def allowed_distance(percent: int, miss: float = MISS) -> int:
@@ -157,17 +165,32 @@ def distance_between(a: Column, b: Column) -> Column:
     return F.aggregate(lanes, F.lit(0), lambda n, d: n + d)
 
 
-def _with_texts(pairs: DataFrame, a: str, b: str, docs: DataFrame) -> DataFrame:
+def _with_texts(pairs: DataFrame, a: str, b: str, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs with their texts, ta and tb. Texts are read for the documents
-    in ``pairs`` only; the join on b comes last, so that equal b follow each
-    other and their set is made once."""
-    involved = pairs.select(F.explode(F.array(a, b)).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    with_a = pairs.join(texts.select(F.col("doc_id").alias(a), F.col("text").alias("ta")), a)
-    return with_a.join(texts.select(F.col("doc_id").alias(b), F.col("text").alias("tb")), b).select(a, b, "ta", "tb")
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    in ``pairs`` only, and of rows that share a doc_id that of the node's hash.
+    A document in more than ``SPLIT`` pairs has its text copied once for each
+    such number, and its pairs are dealt to the copies by their other end. The
+    join on b comes last, so that equal b follow each other and their set is
+    made once."""
+    involved = pairs.select(F.explode(F.array(a, b)).alias("node")).groupBy("node").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("copies"))
+    involved = materialize(involved.join(nodes.select("node", "t"), "node"), "involved")
+    hot = involved.filter("copies > 1").select("node", "copies")
+    own = _texts(docs).join(involved.withColumnRenamed("node", "doc_id"), ["doc_id", "t"]).dropDuplicates(["doc_id"])
+    copies = own.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+
+    def dealt(rows: DataFrame, end: str, other: str, name: str) -> DataFrame:
+        marked = rows.join(hot.select(F.col("node").alias(end), F.col("copies").alias("n")), end, "left")
+        copy = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("n")).cast("int"))
+        return marked.select(*rows.columns, copy.alias(name))
+
+    def joined(rows: DataFrame, end: str, copy: str, text: str) -> DataFrame:
+        return rows.join(copies.select(F.col("doc_id").alias(end), F.col("copy").alias(copy), F.col("text").alias(text)), [end, copy])
+
+    placed = dealt(dealt(pairs.select(a, b), a, b, "ca"), b, a, "cb")
+    return joined(joined(placed, a, "ca", "ta"), b, "cb", "tb").select(a, b, "ta", "tb")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +207,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
             columns = list(zip(*out, strict=True)) or [()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-    return _with_texts(pairs, "a", "b", docs).mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, "a", "b", docs, nodes).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,16 +215,16 @@ def components(links: DataFrame) -> DataFrame:
     b). Each round takes the smallest root of the neighbours, then the root's
     root; rounds end when nothing changes."""
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    roots = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "roots")
-    while True:
+    roots = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"), F.lit(True).alias("changed")), "roots")
+    while not roots.filter("changed").isEmpty():
         heard = edges.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
         lower = roots.join(heard, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("before"), F.least("root", "m").alias("root"))
         parents = roots.select(F.col("node").alias("p"), F.col("root").alias("above"))
         jumped = lower.join(parents, F.col("root") == F.col("p"), "left").select("node", "before", F.least("root", "above").alias("root"))
-        fresh = materialize(jumped, "roots")
-        if fresh.filter(F.col("root") != F.col("before")).isEmpty():
-            return fresh.select("node", "root")
-        roots = fresh.select("node", "root")
+        before, roots = roots, materialize(jumped.select("node", "root", (F.col("root") != F.col("before")).alias("changed")), "roots")
+        discard(before)
+    discard(edges)
+    return roots
 
 
 def stars(shared: DataFrame) -> DataFrame:
@@ -215,11 +238,11 @@ def stars(shared: DataFrame) -> DataFrame:
     return best.select("node", (-F.col("hub.minus")).alias("hub")).filter(F.col("node") != F.col("hub"))
 
 
-def compare_with_hubs(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def compare_with_hubs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """node, hub, linked, and how the node's full shingle set differs from the
     hub's: the numbers of shingles gone and added, and the hashes of both (the
     lowest bit tells which; null if there are more than ``DIFFERENCES``)."""
-    both = _with_texts(pairs, "node", "hub", docs)
+    both = _with_texts(pairs, "node", "hub", docs, nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last, own = Shingler(width), None, None
@@ -303,39 +326,49 @@ def classify(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     least ``percent`` hundredths of their union are linked; component_id is the
     smallest doc_id reachable, kept says that it is the row's own. Null texts
     and texts without words have no shingles and are linked with nothing. Rows
-    that share a doc_id count as one document; a null doc_id stays alone and is
-    kept. Empty tables give an empty result; other columns are ignored.
+    that share a doc_id are one document, linked by the text of the smallest
+    hash among those with words, whatever the order and partitions; n_shingles
+    is each row's own. A null doc_id stays alone and is kept. Empty tables give
+    an empty result; other columns are ignored.
     """
     distance = allowed_distance(percent)
     rows = materialize(sketch(docs, width), "sketch")
     filled = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = filled.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    own = filled.groupBy("doc_id").agg(F.min(F.struct("t", "d0", "d1")).alias("own"))
+    own = materialize(own.select("doc_id", "own.*"), "own")
+    classes = own.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.count(F.lit(1)).alias("copies")).select("first.*", "copies")
     # joined on the id too, so that a large group of copies does not meet in one task
-    chosen = filled.join(classes.withColumn("doc_id", F.col("node")), ["doc_id", "d0", "d1"])
-    nodes = materialize(chosen.select("node", F.col("n_shingles").alias("n"), "s", "d0", "d1", "copies").dropDuplicates(["d0", "d1"]), "nodes")
+    chosen = filled.join(classes, ["doc_id", "t"])
+    nodes = materialize(chosen.select(F.col("doc_id").alias("node"), "t", F.col("n_shingles").alias("n"), "s", "d0", "d1", "copies").dropDuplicates(["node"]), "nodes")
 
     keyed = nodes.select("node", F.posexplode(keys(F.col("s"), distance)).alias("k", "key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     shared = materialize(keyed.join(counts, "key"), "buckets")
 
-    compared = materialize(compare_with_hubs(stars(shared), docs, width, percent), "stars")
-    starred = compared.dropDuplicates(["node"])
+    compared = materialize(compare_with_hubs(stars(shared), docs, nodes, width, percent), "stars")
     none = F.array().cast("array<long>")
-    details = nodes.join(starred, "node", "left").select("node", "n", "s", F.coalesce("hub", "node").alias("hub"), F.coalesce("gone", F.lit(0)).alias("gone"), F.coalesce("added", F.lit(0)).alias("added"), F.when(F.col("hub").isNull(), none).otherwise(F.col("diff")).alias("diff"))
+    details = nodes.join(compared, "node", "left").select("node", "n", "s", F.coalesce("hub", "node").alias("hub"), F.coalesce("gone", F.lit(0)).alias("gone"), F.coalesce("added", F.lit(0)).alias("added"), F.when(F.col("hub").isNull(), none).otherwise(F.col("diff")).alias("diff"))
     details = materialize(details.join(shared.select("node").distinct(), "node", "left_semi"), "details")
-    links = compared.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    starred = materialize(compared.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")), "links")
+    discard(compared)
 
-    def parts() -> DataFrame:
+    def opened(links: DataFrame) -> DataFrame:
         found = components(links)
-        return details.select("node", "hub").join(found, "node", "left").select("node", "hub", F.coalesce("root", "node").alias("part"))
-
-    own = details.drop("s")
-    tried = suggestions(open_buckets(shared, parts())).join(side(own, "a").withColumnRenamed("a_node", "a"), "a").join(side(own, "b").withColumnRenamed("b_node", "b"), "b")
-    links = links.unionByName(materialize(tried.filter(comparable("a", "b") & same_hub_link("a", "b", percent)).select("a", "b"), "links"))
-
-    placed = open_buckets(shared, parts())
+        parts = details.select("node", "hub").join(found, "node", "left").select("node", "hub", F.coalesce("root", "node").alias("part"))
+        placed = open_buckets(shared, parts)
+        discard(found)
+        return placed
+
+    placed, flat = opened(starred), details.drop("s")
+    tried = suggestions(placed).join(side(flat, "a").withColumnRenamed("a_node", "a"), "a").join(side(flat, "b").withColumnRenamed("b_node", "b"), "b")
+    suggested = materialize(tried.filter(comparable("a", "b") & same_hub_link("a", "b", percent)).select("a", "b"), "links")
+    discard(placed)
+    links = starred.unionByName(suggested)
+
+    placed = opened(links)
     largest = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "part")).alias("top")).select("key", F.col("top.part").alias("largest"))
     members = materialize(placed.drop("hub").join(largest, "key").join(details, "node").withColumn("major", F.col("part") == F.col("largest")).drop("largest"), "members")
+    discard(placed, shared, details)
     a, b = side(members, "a", "key", "k"), side(members.drop("k").filter(~F.col("major")), "b", "key")
     first = first_common(F.col("a_s"), F.col("b_s"), distance)
     crosses = (a["key"] == b["key"]) & (F.col("a_part") != F.col("b_part")) & (F.col("a_major") | (F.col("a_part") < F.col("b_part")))
@@ -345,13 +378,15 @@ def classify(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     near = F.when(comparable("a", "b"), same_hub_link("a", "b", percent) & once).otherwise((distance_between(F.col("a_s"), F.col("b_s")) <= distance) & once)
     crossing = a.join(b, crosses & sizes & ~tested & near)
     pairs = materialize(crossing.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), comparable("a", "b").alias("sure")).distinct(), "pairs")
+    discard(members)
     links = links.unionByName(pairs.filter("sure").select("a", "b"))
     unsure = pairs.filter(~F.col("sure")).select("a", "b")
-    final = components(links.unionByName(confirm(unsure, docs, width, percent)))
+    final = components(links.unionByName(confirm(unsure, docs, nodes, width, percent)))
 
     linked = nodes.join(final, "node", "left").filter((F.col("copies") > 1) | F.col("root").isNotNull()).select("d0", "d1", F.coalesce("root", "node").alias("component"))
-    # rows that share a doc_id but not a text follow the smaller component
-    joined = rows.join(linked.withColumn("some", F.lit(1)), [rows["d0"] == linked["d0"], rows["d1"] == linked["d1"], F.col("n_shingles") > F.lit(0)], "left")
+    linked = materialize(linked, "linked")
+    discard(nodes, starred, suggested, pairs, final)
+    joined = rows.select("doc_id", "n_shingles").join(own.select("doc_id", "d0", "d1"), "doc_id", "left").join(linked, ["d0", "d1"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
