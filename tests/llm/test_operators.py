@@ -225,6 +225,25 @@ def test_near_duplicates_of_nothing(spark):
     assert {(x["doc_id"], x["component_id"], x["kept"]) for x in neardup.classify(alone).collect()} == {(None, None, True), (1, 1, True)}
 
 
+def test_one_doc_id_with_several_texts(spark):
+    r = random.Random(41)
+    base, other = words_of(r, 60, 5000), words_of(r, 60, 5000)
+    rows = [(5, base), (5, other), (5, None), (7, base + " more"), (9, other + " more"), (9, other + " more"), (11, "alone here now")]
+    found = [sorted((x["doc_id"], x["component_id"], x["n_shingles"]) for x in neardup.classify(spark.createDataFrame(given, "doc_id long, text string").repartition(n), 3, 85).collect()) for given, n in ((rows, 1), (rows[::-1], 3), (rows[3:] + rows[:3], 2))]
+    assert found[0] == found[1] == found[2] and [x[0] for x in found[0]] == [5, 5, 5, 7, 9, 9, 11]
+    roots = {x[0]: x[1] for x in found[0]}
+    assert roots[5] == 5 and roots[11] == 11 and sorted((roots[7], roots[9])) in ([5, 7], [5, 9])
+
+
+def test_texts_of_a_hot_hub_are_split(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SPLIT", 4)
+    r = random.Random(42)
+    core = words_of(r, 150, 5000).split()
+    texts = [" ".join(f"new{r.randrange(10**6)}" if r.random() < 0.02 else w for w in core) for _ in range(60)]
+    expected = brute_components(texts, 3, 85)
+    assert {x["doc_id"]: x["component_id"] for x in neardup.classify(documents(spark, texts), 3, 85).collect()} == {i: root for i, (_, root) in expected.items()}
+
+
 def test_near_duplicates_by_texts_where_differences_are_many(spark, monkeypatch):
     monkeypatch.setattr(neardup, "DIFFERENCES", 8)
     r = random.Random(6)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import collector_off, slices
@@ -272,27 +272,32 @@ def classify(models: Models, text: str | None) -> tuple[str, float, float | None
 def sample(labelled: DataFrame, per_lang: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
     """Texts to learn from: of each label the ``per_lang`` different texts with
     the smallest hashes, as long as those before them have fewer than
-    ``most_bytes`` bytes. Nothing but text and label is looked at. Hashes are
-    limited in every task before they are shuffled, so the hottest language
-    moves no more rows than any other; texts are read in a second pass for the
-    chosen hashes alone. Null texts and labels are left out."""
+    ``most_bytes`` bytes. Nothing but text and label is looked at. A sketch of
+    each label's different texts tells below which hash there are about twice as
+    many as wanted, and only those hashes are shuffled, once each from a task;
+    texts are read in a second pass for the chosen hashes alone. Null texts and
+    labels are left out."""
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
-    hashed = rows.select("lang", "h", F.octet_length("text").cast("long").alias("size"))
-    # equal texts share a hash: dense_rank counts them as one, and is limited in the tasks as well
-    near = hashed.withColumn("k", F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= per_lang).dropDuplicates(["lang", "h"])
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if not found:
+        return {}
+    near = rows.filter(F.col("h") <= _limits({r["lang"]: (1 << 63) - 1 if r["n"] <= 2 * per_lang else int((2 * per_lang / r["n"]) * 2**64) - (1 << 63) for r in found}))
+    hashed = near.groupBy("lang", "h").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
+    near = hashed.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= per_lang)
     order = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     fitting = near.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).filter(F.col("before") < most_bytes)
     most = {r["lang"]: r["most"] for r in fitting.groupBy("lang").agg(F.max("h").alias("most")).collect()}
-    if not most:
-        return {}
-    limit = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])
-    chosen = rows.filter(F.col("h") <= limit[F.col("lang")]).dropDuplicates(["lang", "h"]).toArrow().to_pydict()
+    chosen = rows.filter(F.col("h") <= _limits(most)).dropDuplicates(["lang", "h"]).toArrow().to_pydict()
     out: dict[str, list[str]] = {lang: [] for lang in most}
     for _, lang, text in sorted(zip(chosen["h"], chosen["lang"], chosen["text"], strict=True)):
         out[lang].append(text)
     return out
 
 
+def _limits(of: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in of.items() for x in pair])[F.col("lang")]
+
+
 def predict(docs: DataFrame, models: Models, *keep: str) -> DataFrame:
     """``keep`` (doc_id and such), lang_pred, score, cross_entropy and rejected
     for every row. Only ``text`` is looked at, whole; equal texts get equal
