@@ -42,6 +42,8 @@ MISS = 1e-5
 DIFFERENCES = 512
 #: Pairs of one document that meet in a task; its text is copied for each further such part.
 SPLIT = 256
+#: Documents of such pairs whose ids are sent to every task, so that other texts are not shuffled.
+BROADCAST_IDS = 1 << 20
 #: Orders by which buckets suggest members of their largest part.
 SUGGESTIONS = 6
 #: Words whose hashes a worker remembers before it starts afresh.
@@ -167,27 +169,27 @@ def distance_between(a: Column, b: Column) -> Column:
 
 def _with_texts(pairs: DataFrame, a: str, b: str, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs with their texts, ta and tb. Texts are read for the documents
-    in ``pairs`` only, and of rows that share a doc_id that of the node's hash.
-    A document in more than ``SPLIT`` pairs has its text copied once for each
-    such number, and its pairs are dealt to the copies by their other end. The
-    join on b comes last, so that equal b follow each other and their set is
-    made once."""
+    in ``pairs`` only, and of rows that share a doc_id that of the node's hash;
+    they are shuffled once. A document in more than ``SPLIT`` pairs is hot: its
+    text is copied once for each such number, and its pairs are dealt to the
+    copies by their other end. The join on b comes last, so that equal b follow
+    each other and their set is made once."""
     involved = pairs.select(F.explode(F.array(a, b)).alias("node")).groupBy("node").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("copies"))
     involved = materialize(involved.join(nodes.select("node", "t"), "node"), "involved")
+    wanted = involved.withColumnRenamed("node", "doc_id")
+    if involved.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    own = _texts(docs).join(wanted, ["doc_id", "t"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "copies")
     hot = involved.filter("copies > 1").select("node", "copies")
-    own = _texts(docs).join(involved.withColumnRenamed("node", "doc_id"), ["doc_id", "t"]).dropDuplicates(["doc_id"])
-    copies = own.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
 
-    def dealt(rows: DataFrame, end: str, other: str, name: str) -> DataFrame:
+    def joined(rows: DataFrame, end: str, other: str, text: str) -> DataFrame:
         marked = rows.join(hot.select(F.col("node").alias(end), F.col("copies").alias("n")), end, "left")
-        copy = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("n")).cast("int"))
-        return marked.select(*rows.columns, copy.alias(name))
+        cold = marked.filter(F.col("n").isNull()).join(own.filter("copies = 1").select(F.col("doc_id").alias(end), F.col("text").alias(text)), end)
+        dealt = own.filter("copies > 1").select(F.col("doc_id").alias(end), F.col("text").alias(text), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+        split = marked.filter(F.col("n").isNotNull()).withColumn("copy", F.pmod(F.xxhash64(other), F.col("n")).cast("int")).join(dealt, [end, "copy"])
+        return cold.drop("n").unionByName(split.drop("n", "copy"))
 
-    def joined(rows: DataFrame, end: str, copy: str, text: str) -> DataFrame:
-        return rows.join(copies.select(F.col("doc_id").alias(end), F.col("copy").alias(copy), F.col("text").alias(text)), [end, copy])
-
-    placed = dealt(dealt(pairs.select(a, b), a, b, "ca"), b, a, "cb")
-    return joined(joined(placed, a, "ca", "ta"), b, "cb", "tb").select(a, b, "ta", "tb")
+    return joined(joined(pairs.select(a, b), a, b, "ta"), b, a, "tb").select(a, b, "ta", "tb")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
