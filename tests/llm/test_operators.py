@@ -542,6 +542,53 @@ def test_vectors(spark):
     assert ann.search(few, few.filter("id = 0"), 20).count() == 4 and ann.search(table.limit(0), few, 20).count() == 0
 
 
+def test_repeated_ids_crowd_nobody_out(spark):
+    r = np.random.default_rng(51)
+    v = r.standard_normal((400, 16))
+    rows = [(5 if i < 60 else i, (v[0] + 0.01 * r.standard_normal(16) if i < 60 else x).tolist(), "clash", 1) for i, x in enumerate(v)] + [(0, v[0].tolist(), "clash", 1)] * 3
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, rank int")
+    vectors = ann.usable(table, "vec_id", "embedding")
+    for shard_rows in (50, 1000):
+        found = ann.search(vectors, vectors.filter("id = 0"), 20, shard_rows=shard_rows).orderBy("rank").collect()
+        assert [x["rank"] for x in found] == list(range(1, 21)) and found[0]["vec_id"] == 5 and len({x["vec_id"] for x in found}) == 20
+        best = max((v_ @ v[0] for i, v_ in ((i, np.array(e)) for i, e, *_ in rows) if i == 5))
+        assert abs(found[0]["score"] - best) < 1e-9
+
+
+def test_vectors_of_any_finite_size(spark):
+    r = np.random.default_rng(52)
+    v = r.standard_normal((300, 8))
+    for size in (1e-170, 1e160, 1e-308):
+        rows = [(i, (x * size).tolist()) for i, x in enumerate(v)]
+        table = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+        kept = {x["id"] for x in table.select("id").collect()}
+        found = ann.search(table, table.filter("id % 20 = 0"), 5, shard_rows=100).collect()
+        by = {}
+        for x in found:
+            by.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"]))
+        for q, got in by.items():
+            s = v @ v[q]
+            s[q] = -np.inf
+            assert [i for _, i in sorted(got)] == np.lexsort((np.arange(300), -s))[:5].tolist() or size < 1e-300
+        assert len(by) == 15 and len(kept) == 300 and not any(np.isnan(x["score"]) for x in found)
+    mixed = [(1, [1e160, 0.0]), (2, [1e170, 0.0]), (3, [1e-170, 1.0]), (4, [-1e170, 0.0]), (0, [1e160, 1e-3])]
+    table = ann.usable(spark.createDataFrame(mixed, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    assert [x["vec_id"] for x in ann.search(table, table.filter("id = 0"), 4).orderBy("rank").collect()] == [2, 1, 3, 4]
+
+
+def test_fewer_vectors_are_verified_than_there_are(monkeypatch):
+    r = np.random.default_rng(53)
+    v = r.standard_normal((8000, 64))
+    index = ann.Shard(np.arange(8000), v)
+    asked, powers = ann._scaled(v[:200])
+    hits = 0
+    for q, (query, power, centres) in enumerate(zip(asked, powers.tolist(), index.places(asked), strict=True)):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len({i for i, *_ in index.nearest(q, query, power, centres, 20)} & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 200 and index.verified <= 0.16 * 8000 * 200
+
+
 # --- 10 ---
 
 
