@@ -9,6 +9,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -18,7 +19,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textmill.llm import ann, bpe, langid, linededup, neardup, packing, pages, pii, pii_train, quality, urls
+from textmill.llm import ann, bpe, common, langid, linededup, neardup, packing, pages, pii, pii_train, quality, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long"
 EDGES = [None, "", " ", "\n\n", "one", "one two", "ONE two", "Ünï cödé 😀 naïve", "x" * 30_000, "a b " * 9_000, "tab\tand\x0bvertical \x85 nbsp\xa0end", "don't we'll 12.5% <|endoftext|>", "a <|startoftext|> b x<|startoftext|>Y<|endoftext|>! <|ENDOFTEXT|> <|end oftext|>"]
@@ -513,6 +514,160 @@ def test_pages(spark):
     assert pages.extract(copies.limit(0)).count() == 0
 
 
+def plain_text(html):
+    page = pages.Page(html)
+    return pages.main_text(page.parents, page.flags, page.slots, page.hashes, page.owners, page.texts, set(), set())
+
+
+def test_markup_of_any_kind_is_read_in_linear_time():
+    long = ["<" + "a" * 10**6, "<a '" * 250_000, "<div>" * 10**5 + "x", "<div><p>t" * 50_000, "<b>" * 10**5 + "</i>" * 10**5, "<i><div>" + "<b>" * 10**5 + "</i>" * 10**5, "<b>" * 50_000 + "<p>x" * 50_000, "<" * 10**6, "<!--" * 200_000, "<script>" + "</script " * 10**5, "<a " + "b=c " * 200_000 + ">x", "<a " + ("b" + " " * 500 + "c ") * 2000 + ">x"]
+    for html in long:
+        began = time.process_time()
+        plain_text(html)
+        assert time.process_time() - began < 5, html[:20]
+    given = ["a<div></div>c<br>d<b>e</b>f <i>x<p>y</i>z", "<!-- x --><!DOCTYPE html><p>k<!-- y>z --> l</p><![CDATA[ q ]]>m", "1 < 2 <3 &lt; 4 &#x41;&nbsp;&hearts;", "<p title='a>b' x=\"</p>\" y=c>in</p> out", "<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>1<td>2<tr><td>3</table>", "x<script>if (a<b) '</p>'</script>y<style>p{}</style >z", "<p>open <b", "</p></div>end</x>"]
+    assert list(map(plain_text, given)) == ["a c def x yz", "k l m", "1 < 2 <3 < 4 A ♥", "in out", "a b c 1 2 3", "xyz", "open", "end"]
+
+
+def test_article_text_is_kept():
+    assert plain_text('<article><h1>T</h1><section class="discussion">A</section><div class="related-work">B</div></article>') == "T A B"
+    assert plain_text("<article>Teaser</article><div>" + "long text " * 20 + "</div>").startswith("Teaser long text")
+    assert plain_text('<div class="related">no</div><aside>no</aside><div role="banner">no</div><main><p>yes</p><div class="comments"><p>no</p></div><div hidden>no</div></main><footer>no</footer>') == "yes"
+
+
+class Tree(HTMLParser):
+    """Well-formed pages as nested nodes."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.root = self.at = {"tag": "", "attrs": {}, "parts": [], "up": None}
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        node = {"tag": tag, "attrs": dict(attrs), "parts": [], "up": self.at}
+        self.at["parts"].append(node)
+        self.at = node
+
+    def handle_endtag(self, tag):
+        self.at = self.at["up"]
+
+    def handle_data(self, data):
+        self.at["parts"].append(" ".join(data.split()))
+
+
+def brute_pages(given):
+    def nodes(n):
+        yield n
+        for p in n["parts"]:
+            if isinstance(p, dict):
+                yield from nodes(p)
+
+    def signature(n):
+        return (n["tag"], *[q for q in (signature(p) if isinstance(p, dict) else p for p in n["parts"]) if q and q[1:]]) if n["parts"] else (n["tag"],)
+
+    def slot(n):
+        return () if n["up"] is None else (*slot(n["up"]), (n["tag"], re.sub("[0-9]+", "#", n["attrs"].get("class", ""))))
+
+    def ups(n):
+        while n["up"] is not None:
+            n = n["up"]
+            yield n
+
+    trees = [(host, Tree(html).root) for host, html in given]
+    for _, root in trees:
+        for n in nodes(root):
+            n["main"] = any(u["tag"] in ("article", "main") for u in (n, *ups(n)))
+            inside = any(u["tag"] in ("article", "main") for u in ups(n))
+            n["role"] = pages._role(n["tag"], n["attrs"], inside) if n["tag"] else 0
+            n["dropped"] = any(u["role"] == pages.DROPPED for u in (n, *ups(n)) if u["tag"])
+            n["holds"] = any(m["tag"] in ("article", "main") for m in nodes(n)) or not n["tag"]
+
+    def text(root, gone):
+        found = []
+
+        def walk(n):
+            if not gone(n):
+                for p in n["parts"]:
+                    if isinstance(p, dict):
+                        walk(p)
+                    elif p:
+                        found.append((n["main"], p))
+
+        walk(root)
+        inner, outer = (sum(len(t) for m, t in found if m == which) for which in (True, False))
+        return " ".join(t for m, t in found if m or not inner or outer > 2 * inner)
+
+    shingle, bodies = neardup.Shingler(5), {}
+    for host, root in trees:
+        own = shingle(text(root, lambda n: n["dropped"]))
+        counted = {(slot(n), signature(n), n["role"] == pages.WEAK) for n in nodes(root) if not n["holds"] and not n["up"]["dropped"] and signature(n)[1:]}
+        if counted:
+            bodies.setdefault((host, int(own.min()) if len(own) else 0), []).append(counted)
+    out = []
+    for host, root in trees:
+        mine = [b for (h, _), b in bodies.items() if h == host]
+        n_of, weak = Counter(), {}
+        for b in mine:
+            for s, g, w in set().union(*b):
+                n_of[s, g] += 1
+                weak[s] = weak.get(s, False) or w
+        template = {g for (s, g), n in n_of.items() if n >= 5 and n >= 0.3 * len(mine)}
+        slots = set()
+        for s in weak:
+            total, again = sum(n for (t, _), n in n_of.items() if t == s), sum(n for (t, _), n in n_of.items() if t == s and n > 1)
+            if total >= 5 and ((again >= 0.5 * total and total >= 0.05 * len(mine)) or (weak[s] and total >= 0.5 * len(mine))):
+                slots.add(s)
+
+        def gone(n):
+            if not n["tag"]:
+                return False
+            box = n["tag"] not in pages.FLOW
+            free = not n["holds"] and (box or not n["main"])
+            return n["dropped"] or (free and (signature(n) in template or ((box or n["role"]) and slot(n) in slots))) or (n["role"] == pages.WEAK and slot(n) in slots)
+
+        out.append(text(root, gone))
+    return out
+
+
+def test_pages_against_brute_force(spark):
+    r = random.Random(61)
+    said = [words_of(r, 6, 5000) for _ in range(12)]
+
+    def block(depth, host):
+        tag = r.choice(["p", "p", "div", "section", "ul", "nav", "h2", "blockquote"])
+        named = r.choice(["", "", "", " class='related'", " class='box'", " class='ad'", f" class='item{r.randrange(99)}'", " class='notice'"])
+        if tag == "ul":
+            return f"<ul{named}>" + "".join(f"<li>{r.choice(said) if r.random() < 0.7 else words_of(r, 5, 5000)}</li>" for _ in range(2)) + "</ul>"
+        inner = r.choice(said) if r.random() < 0.5 else words_of(r, r.randint(1, 12), 5000)
+        if tag in ("div", "section") and depth < 3:
+            inner += "".join(block(depth + 1, host) for _ in range(r.randint(1, 3)))
+        return f"<{tag}{named}>{inner}</{tag}>"
+
+    def page(host):
+        fixed = f"<div class='top'><p>{said[host]}</p></div><div class='rotating'>{said[r.randrange(4)]}</div>"
+        main = "".join(f"<p>{words_of(r, 15, 5000)}</p>" for _ in range(r.randint(1, 4)))
+        body = main if r.random() < 0.3 else f"<article><h1>{words_of(r, 4, 5000)}</h1>{main}{''.join(block(0, host) for _ in range(2))}<div class='notice'>{words_of(r, 3, 5000)}</div></article>"
+        return f"<html><body>{fixed}{body}{''.join(block(0, host) for _ in range(2))}</body></html>"
+
+    given = [(f"h{k}.org", page(k)) for k in range(4) for _ in range((40, 12, 7, 3)[k])]
+    rows = [(i, f"http://{h}/{i}", html, "clash", "x") for i, (h, html) in enumerate(given)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, host string, text string").repartition(3)
+    found = {x["page_id"]: x["text"] for x in pages.extract(docs).collect()}
+    assert [found[i] for i in range(len(given))] == brute_pages(given)
+    without = [plain_text(html) for _, html in given]
+    assert sum(found[i] != t for i, t in enumerate(without)) > 30
+
+
+def test_copies_and_hot_hosts_of_pages(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    r = random.Random(62)
+    article = words_of(r, 80, 5000).split()
+    near = [" ".join(f"e{r.randrange(10**6)}" if r.random() < 0.01 else w for w in article) for _ in range(40)]
+    rows = [(i, f"http://hot.org/{i}", f"<body><div class='menu1'><p>Our menu of {i % 3}</p></div><div class='text'><p>{t}</p><p>{words_of(r, 4, 5000)}</p></div></body>") for i, t in enumerate([*near, *[words_of(r, 60, 5000) for _ in range(40)]])]
+    found = {x["page_id"]: x["text"] for x in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i].startswith(t) and "menu" not in found[i] for i, t in enumerate(near)) and not any("menu" in t for t in found.values())
+
+
 # --- 9 ---
 
 

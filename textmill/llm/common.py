@@ -90,6 +90,23 @@ def collector_off(run: Callable) -> Callable:
     return wrapped
 
 
+#: Rows of a small table up to which it is sent to every task.
+BROADCAST_ROWS = 10_000
+#: Parts that a hot key's rows are dealt to where it is larger.
+SALTS = 32
+
+
+def join_hosts(rows: DataFrame, known: DataFrame, key: str, spread: Column) -> DataFrame:
+    """``rows`` with what ``known`` (written, one row a key, its key column
+    named ``key`` too) has of their key, nulls where it has none. A small table
+    is broadcast; a larger one is copied ``SALTS`` times and the rows are dealt
+    to the copies by ``spread``, so that a hot key's rows do not meet in one task."""
+    if known.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(known), key, "left")
+    copies = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in small slices, so that a worker never holds Python
     objects for more than ``rows`` texts at once."""
