@@ -485,6 +485,14 @@ def test_link_graph_in_sql(spark, tmp_path):
 # --- 7 ---
 
 
+def test_lines_of_a_hot_host_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    long = "\n".join(f"line {k}" for k in range(60_000))
+    texts = [f"{long}\nFooter of all" if i == 3 else f"text {i}\nFooter of all" for i in range(30)]
+    rows = {x["doc_id"]: x for x in linededup.clean(documents(spark, texts).withColumn("_salt", F.lit("clash"))).collect()}
+    assert len(rows) == 30 and all(rows[i]["text"] == (long if i == 3 else f"text {i}") and rows[i]["n_dropped"] == 1 for i in rows)
+
+
 def test_lines(spark):
     texts = [f"Cookie notice\nunique line {i}\nend {i % 3}" for i in range(40)] + ["Cookie notice\nother"] * 5 + [None, "", "\n\n", "  Cookie notice \nx"]
     sources = {i: "a" if i < 46 else None if i == 48 else "b" for i in range(49)}
