@@ -26,24 +26,31 @@ def split_long(block: str, target: int) -> list[str]:
     return [*pieces, block[at:]] if at < end else pieces
 
 
-def chunk_text(text: str, target: int = TARGET) -> list[str]:
-    """Chunks of a text. Blocks between blank lines are gathered up to
-    ``target`` characters, but a chunk is not closed below 200; a longer block
-    is cut by itself and joins none of its neighbours."""
-    done: list[str] = []
-    held: list[str] = []
-    size = 0
-    for block in filter(None, map(str.strip, _GAP.split(text.replace("\r\n", "\n").replace("\r", "\n")))):
-        long = len(block) > target
-        if held and (long or (size >= LEAST and size + len(block) + 2 > target)):
-            done.append("\n\n".join(held))
-            held, size = [], 0
+def groups(lengths: list[int], target: int) -> list[tuple[int, int, bool]]:
+    """Ranges of blocks that make a chunk, from their lengths, and whether the
+    range is one long block to be cut. A range ends before the first block that
+    would take it beyond ``target`` (each counts two more, for the blank line)
+    once it has ``LEAST``; a block longer than ``target`` is a range by itself."""
+    bounds, start, filled = [], 0, 0
+    for k, length in enumerate(lengths):
+        long = length > target
+        if start < k and (long or (filled >= LEAST and filled + length + 2 > target)):
+            bounds.append((start, k, False))
+            start, filled = k, 0
+        filled += length + 2
         if long:
-            done += split_long(block, target)
-        else:
-            held.append(block)
-            size += len(block) + 2
-    return [*done, "\n\n".join(held)] if held else done
+            bounds.append((k, k + 1, True))
+            start, filled = k + 1, 0
+    return [*bounds, (start, len(lengths), False)] if start < len(lengths) else bounds
+
+
+def chunk_text(text: str, target: int = TARGET) -> list[str]:
+    """Chunks of a text: its blocks between blank lines, gathered by ``groups``."""
+    blocks = [b for b in map(str.strip, _GAP.split(text.replace("\r\n", "\n").replace("\r", "\n"))) if b]
+    out: list[str] = []
+    for start, end, long in groups(list(map(len, blocks)), target):
+        out += split_long(blocks[start], target) if long else ["\n\n".join(blocks[start:end])]
+    return out
 
 
 def chunk_rows(docs: DataFrame, *keep: str, target: int = TARGET) -> DataFrame:
