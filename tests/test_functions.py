@@ -1,4 +1,6 @@
+import hashlib
 import re
+import urllib.error
 
 import pytest
 from hypothesis import given, settings
@@ -55,8 +57,30 @@ def test_kinds(spark):
     assert column(spark, names, T.kind_of) == ["markdown", "markdown", "pdf", "text", "unknown", "unknown", "unknown", "text"]
 
 
-def test_features_match_the_embedder(spark):
-    assert column(spark, ["Ab c", ""], T.features) == [embed.feature_strings("Ab c"), []]
+def features(text):
+    out = []
+    for token in re.findall("[a-z0-9]+", text.lower()):
+        marked = "^" + token + "$"
+        out += ["w:" + token] + ["c3:" + marked[k : k + 3] for k in range(len(marked) - 2)]
+    return out
+
+
+def test_features(spark):
+    assert column(spark, ["Ab c", ""], T.features) == [["w:ab", "c3:^ab", "c3:ab$", "w:c", "c3:^c$"], []]
+    assert column(spark, TEXTS, T.features) == list(map(features, TEXTS))
+
+
+def test_vectors_are_signed_sums_of_features(monkeypatch):
+    monkeypatch.setattr(embed, "MEMO_TOKENS", 6)
+    texts = [*TEXTS, "same word, same word", "a b c d e f g h i j"]
+    for text, made in zip(texts, embed.HashedNgramEmbedder(32).embed(texts), strict=True):
+        sums = [0] * 32
+        for f in features(text):
+            digest = hashlib.blake2b(f.encode(), digest_size=8).digest()
+            sums[int.from_bytes(digest[:4], "big") % 32] += 1 if digest[4] % 2 else -1
+        length = sum(x * x for x in sums) ** 0.5
+        assert made == pytest.approx([x / length if length else 0 for x in sums])
+    assert embed.HashedNgramEmbedder(32).embed([]) == []
 
 
 def test_chunks():
@@ -108,12 +132,29 @@ def test_http_embedder():
     def broken(*_):
         raise OSError("down")
 
+    lost = iter([OSError("reset"), urllib.error.HTTPError("u", 503, "busy", None, None)])
+
+    def shaky(*given):
+        for error in lost:
+            raise error
+        return transport(*given)
+
+    assert embed.HttpEmbedder("http://x/v1", "m", "k", transport=shaky, wait=0).embed(["a"]) == [[1.0] * 8] and next(lost, None) is None
+    asked = []
+
+    def refused(*_):
+        asked.append(1)
+        raise urllib.error.HTTPError("u", 401, "no", None, None)
+
+    with pytest.raises(embed.EmbeddingBackendError):
+        embed.HttpEmbedder("http://x", "m", "k", transport=refused).embed(["a"])
+    assert len(asked) == 1
     e = embed.HttpEmbedder("http://x/v1/", "m", "k", transport=transport)
     assert e.embed(["a", "b"]) == [[1.0] * 8, [2.0] * 8] and e.dim == 8
     meta = dict(embed.embedder_meta(e))
     assert "k" not in meta.values() and embed.embedder_of(meta, "k").dim == 8
     with pytest.raises(embed.EmbeddingBackendError):
-        embed.HttpEmbedder("http://x", "m", "k", transport=broken).embed(["a"])
+        embed.HttpEmbedder("http://x", "m", "k", transport=broken, wait=0).embed(["a"])
     for missing in (("", "m", "k"), ("u", "", "k"), ("u", "m", "")):
         with pytest.raises(embed.EmbeddingConfigError):
             embed.HttpEmbedder(*missing)

@@ -1,8 +1,9 @@
 """Command line: build, query and audit an index.
 
+    python -m textmill demo CORPUS --queries queries.json
     python -m textmill ingest CORPUS --out manifest.json --quarantine-dir DIR
-    python -m textmill parse --manifest manifest.json --corpus CORPUS --out chunks
-    python -m textmill index --corpus CORPUS --out index --embedder local
+    python -m textmill parse --manifest manifest.json --out chunks
+    python -m textmill index --manifest manifest.json --chunks chunks --out index
     python -m textmill query search "some words" --index index --mode hybrid
     python -m textmill query doc|list|context|stats ...
     python -m textmill verify CORPUS --index index
@@ -21,6 +22,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import demo
 from .functions.embed import Embedder, EmbeddingError, embedder_of, http_embedder, local_embedder
 from .functions.hashing import sha256
 from .operators import answer, evaluate, index, ingest, lookup, search, verify
@@ -32,8 +34,10 @@ ENV = "TEXTMILL_EMBEDDING_"
 
 
 def _spark() -> SparkSession:
-    spark = session(os.environ.get("TEXTMILL_MASTER", "local[*]"), int(os.environ.get("TEXTMILL_PARTITIONS", "8")))
-    spark.sparkContext.setLogLevel("ERROR")
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        spark = session(os.environ.get("TEXTMILL_MASTER", "local[*]"), int(os.environ.get("TEXTMILL_PARTITIONS", "8")))
+        spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
@@ -54,8 +58,16 @@ def _index_is_there(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def do_demo(a: argparse.Namespace) -> int:
+    print(json.dumps(demo.write(a.corpus, a.queries, a.seed)))
+    return 0
+
+
 def do_ingest(a: argparse.Namespace) -> int:
     found = ingest.ingest(_spark(), a.corpus, a.quarantine_dir)
+    if a.tables:
+        print(json.dumps(ingest.write_tables(found, a.tables)))
+        return 0
     manifest = ingest.manifest_dict(found, a.corpus)
     files.write_manifest(manifest, a.out)
     print(json.dumps(manifest["summary"]))
@@ -64,25 +76,28 @@ def do_ingest(a: argparse.Namespace) -> int:
 
 def do_parse(a: argparse.Namespace) -> int:
     spark = _spark()
-    documents = ingest.documents_of(files.manifest_files(files.read_manifest(spark, a.manifest)))
-    texts, errors = ingest.texts_of(spark, a.corpus, documents)
-    chunks = index.chunk_table(texts.select("doc_id", "text")).join(texts.select("doc_id", "rel_path"), "doc_id")
-    files.write_chunks(chunks, a.out)
-    bad = errors.collect()
-    n = texts.count()
-    print(json.dumps({"documents": documents.count(), "chunks": files.read_chunks(spark, a.out).count(), "texts": n, "left_out": len(bad)}))
-    for row in bad:
+    manifest = files.read_manifest(spark, a.manifest)
+    documents = ingest.documents_of(files.manifest_files(manifest))
+    texts, errors = ingest.texts_of(spark, a.corpus or manifest.first()["corpus_root"], documents)
+    if not files.pdf_available():
+        print("the PDF library is not installed; PDF files are skipped", file=sys.stderr)
+    files.write_chunks(ingest.chunks_of(texts), a.out)
+    counters = ingest.parse_counters(documents, texts, files.read_chunks(spark, a.out), errors).first().asDict()
+    print(json.dumps(counters))
+    for row in errors.filter(F.col("error") != ingest.PDF_SKIPPED).orderBy("rel_path").toLocalIterator():
         print(f"{row['rel_path']}: {row['error']}", file=sys.stderr)
-    return 1 if a.strict and bad else 0
+    return 1 if a.strict and counters["errors"] else 0
 
 
 def do_index(a: argparse.Namespace) -> int:
     spark = _spark()
-    found = ingest.ingest(spark, a.corpus)
-    documents = ingest.documents_of(found["files"])
-    texts, _ = ingest.texts_of(spark, a.corpus, documents)
+    if a.corpus:
+        listed = ingest.ingest(spark, a.corpus)["files"]
+        chunks = ingest.chunks_of(ingest.texts_of(spark, a.corpus, ingest.documents_of(listed))[0])
+    else:
+        listed, chunks = files.manifest_files(files.read_manifest(spark, a.manifest)), files.read_chunks(spark, a.chunks)
     embedder = None if a.embedder == "none" else resolve_embedder(a.embedder, a.embedding_base_url, a.embedding_api_key, a.embedding_model)
-    print(json.dumps(index.build(spark, documents, texts.select("doc_id", "text"), found["files"], a.out, embedder)))
+    print(json.dumps(index.build(spark, ingest.documents_of(listed), chunks, listed, a.out, embedder)))
     return 0
 
 
@@ -129,9 +144,9 @@ def do_verify(a: argparse.Namespace) -> int:
         return 2
     opened = index.load(spark, a.index)
     listed = files.manifest_files(files.read_manifest(spark, a.manifest)) if a.manifest else ingest.ingest(spark, a.corpus)["files"]
-    disk = files.read_binary(spark, a.corpus, files.walk(a.corpus)[0]).select("rel_path", sha256(F.col("content")).alias("actual"))
+    disk = files.read_binary(spark, a.corpus, files.listed(a.corpus)).select("rel_path", sha256(F.col("content")).alias("actual"))
     ok, found, summary = verify.verify(opened, listed, disk, files.read_exemptions(spark, a.exemptions), a.deep)
-    for row in found.collect():
+    for row in found.toLocalIterator():
         print(row["message"])
     print(json.dumps(summary))
     return 0 if ok else 1
@@ -180,9 +195,10 @@ def parser() -> argparse.ArgumentParser:
     k = ("--k", {"type": int, "default": 5})
     mode = lambda default: ("--mode", {"choices": search.MODES, "default": default})
     limit = lambda default: ("--limit", {"type": int, "default": default})
-    command(sub, "ingest", do_ingest, ("corpus", {}), ("--out", {"default": "manifest.json"}), ("--quarantine-dir", {"default": None}))
-    command(sub, "parse", do_parse, ("--manifest", {"default": "manifest.json"}), ("--out", {"default": "chunks"}), ("--corpus", {"required": True}), ("--strict", {"action": "store_true"}))
-    command(sub, "index", do_index, ("--corpus", {"required": True}), ("--out", {"default": "index"}), ("--embedder", {"choices": ("local", "http", "none"), "default": "local"}), ("--embedding-base-url", {}), ("--embedding-api-key", {}), ("--embedding-model", {}))
+    command(sub, "demo", do_demo, ("corpus", {}), ("--queries", {"default": "queries.json"}), ("--seed", {"type": int, "default": demo.SEED}))
+    command(sub, "ingest", do_ingest, ("corpus", {}), ("--out", {"default": "manifest.json"}), ("--tables", {"default": None}), ("--quarantine-dir", {"default": None}))
+    command(sub, "parse", do_parse, ("--manifest", {"default": "manifest.json"}), ("--out", {"default": "chunks"}), ("--corpus", {"default": None}), ("--strict", {"action": "store_true"}))
+    command(sub, "index", do_index, ("--manifest", {"default": "manifest.json"}), ("--chunks", {"default": "chunks"}), ("--corpus", {"default": None}), ("--out", {"default": "index"}), ("--embedder", {"choices": ("local", "http", "none"), "default": "local"}), ("--embedding-base-url", {}), ("--embedding-api-key", {}), ("--embedding-model", {}))
     command(sub, "verify", do_verify, ("corpus", {}), at, ("--manifest", {"default": None}), ("--exemptions", {"default": None}), ("--deep", {"action": "store_true"}))
     command(sub, "eval", do_eval, at, ("--queries", {"default": "queries.json"}), k, mode("hybrid"), ("--check", {"action": "store_true"}), ("--baseline", {"default": "baseline.json"}))
     command(sub, "answer", do_answer, ("query", {}), at, k, mode("hybrid"))

@@ -15,17 +15,17 @@ from typing import TextIO
 
 from .cli import VERSION, main
 
-_S, _I = {"type": "string"}, {"type": "integer"}
+_S, _I, _B = {"type": "string"}, {"type": "integer"}, {"type": "boolean"}
 
 #: name: what it does, properties, required ones, arguments of the command line.
 TOOLS: dict[str, tuple[str, dict, list[str], Callable[[dict], list[str]]]] = {
     "ingest": ("Hash, classify and de-duplicate a folder", {"corpus": _S, "out": _S, "quarantine_dir": _S}, ["corpus"], lambda v: ["ingest", v["corpus"]]),
-    "parse": ("Cut the documents of a manifest into chunks", {"manifest": _S, "corpus": _S, "out": _S}, ["corpus"], lambda v: ["parse", "--corpus", v["corpus"]]),
-    "index": ("Build an index of a folder", {"corpus": _S, "out": _S, "embedder": _S}, ["corpus"], lambda v: ["index", "--corpus", v["corpus"]]),
+    "parse": ("Cut the documents of a manifest into chunks", {"manifest": _S, "corpus": _S, "out": _S}, [], lambda v: ["parse"]),
+    "index": ("Build an index of a manifest and its chunks", {"manifest": _S, "chunks": _S, "out": _S, "embedder": _S, "embedding_base_url": _S, "embedding_model": _S}, [], lambda v: ["index"]),
     "verify": ("Trace every row of an index to its source", {"corpus": _S, "index": _S, "manifest": _S, "exemptions": _S}, ["corpus"], lambda v: ["verify", v["corpus"]]),
     "search": ("Ranked search", {"query": _S, "index": _S, "mode": _S, "limit": _I}, ["query"], lambda v: ["query", "search", v["query"]]),
     "answer": ("Answer with cited sentences, or refuse", {"query": _S, "index": _S, "mode": _S, "k": _I}, ["query"], lambda v: ["answer", v["query"]]),
-    "eval": ("Metrics over labelled queries", {"index": _S, "queries": _S, "mode": _S, "k": _I}, [], lambda v: ["eval"]),
+    "eval": ("Metrics over labelled queries", {"index": _S, "queries": _S, "mode": _S, "k": _I, "check": _B, "baseline": _S}, [], lambda v: ["eval"]),
 }
 
 
@@ -35,8 +35,10 @@ def call(name: str, values: dict, run: Callable[[list[str]], int] = main) -> dic
         return {"content": [{"type": "text", "text": f"missing: {', '.join(missing)}"}], "isError": True}
     argv = start(values)
     for key in properties:
-        if key not in required and values.get(key) is not None:
-            argv += [f"--{key.replace('_', '-')}", str(values[key])]
+        value = values.get(key)
+        if key in required or value is None or value is False:
+            continue
+        argv += [f"--{key.replace('_', '-')}"] + ([] if value is True else [str(value)])
     out = io.StringIO()
     try:
         with contextlib.redirect_stdout(out), contextlib.redirect_stderr(out):

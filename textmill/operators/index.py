@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +24,8 @@ TABLES = {
     "documents": "doc_id string, rel_path string, sha256 string, size long, kind string",
     "chunks": "chunk_id string, doc_id string, chunk_index long, text string",
     "terms": "term string, chunk_id string, position long",
+    "postings": "term string, chunk_id string, tf long, length long",
+    "term_stats": "term string, df long",
     "chunk_stats": "chunk_id string, length long",
     "corpus_stats": "chunks long, tokens long, average double",
     "runs": "run_id string, manifest_sha256 string, chunks_sha256 string, doc_count long, chunk_count long, term_count long",
@@ -31,6 +39,8 @@ class Index:
     documents: DataFrame
     chunks: DataFrame
     terms: DataFrame
+    postings: DataFrame
+    term_stats: DataFrame
     chunk_stats: DataFrame
     corpus_stats: DataFrame
     runs: DataFrame
@@ -50,7 +60,11 @@ class Index:
 
 def chunk_table(texts: DataFrame) -> DataFrame:
     """chunk_id, doc_id, chunk_index, text of (doc_id, text)."""
-    rows = chunk_rows(texts, "doc_id")
+    return with_ids(chunk_rows(texts, "doc_id"))
+
+
+def with_ids(rows: DataFrame) -> DataFrame:
+    """The chunk table of cut texts (doc_id, chunk_index, text)."""
     return rows.select(chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), "doc_id", "chunk_index", "text")
 
 
@@ -64,6 +78,31 @@ def chunk_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(T.tokens(F.col("text"))).cast("long").alias("length"))
 
 
+def posting_table(chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, how often it is there, and the chunk's length: all that
+    ranking needs of a term in one row. Counted within each chunk by one Arrow
+    pass: in SQL the same takes a shuffle of all terms and one of all postings,
+    or comparing each token of a chunk with all others."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
+                found = [Counter(re.findall("[a-z0-9]+", (t or "").lower())) for t in batch.column("text").to_pylist()]
+                sizes = np.array([len(c) for c in found])
+                rows = pa.array(np.repeat(np.arange(len(found)), sizes))
+                lengths = pa.array(np.repeat([c.total() for c in found], sizes), pa.int64())
+                terms, counts = pa.array(chain.from_iterable(found), pa.string()), pa.array(chain.from_iterable(c.values() for c in found), pa.int64())
+                yield pa.RecordBatch.from_arrays([terms, batch.column("chunk_id").take(rows), counts, lengths], names=["term", "chunk_id", "tf", "length"])
+
+    return chunks.select("chunk_id", "text").mapInArrow(count, TABLES["postings"])
+
+
+def term_frequencies(postings: DataFrame) -> DataFrame:
+    """In how many chunks each term is, exactly."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def corpus_counts(lengths: DataFrame) -> DataFrame:
     """Number of chunks, of tokens, and tokens a chunk (0 without chunks);
     chunks without tokens count."""
@@ -76,24 +115,28 @@ def with_norm(vectors: DataFrame) -> DataFrame:
     return vectors.select("chunk_id", "embedding", F.sqrt(square).alias("norm"))
 
 
-def build(spark: SparkSession, documents: DataFrame, texts: DataFrame, manifest: DataFrame, out: str, embedder: Embedder | None = None) -> dict[str, int]:
-    """Writes an index of (doc_id, text) rows and returns its counts. Each table
-    is derived from the written one before it; terms are sorted by term, so that
-    a look-up reads few row groups. Everything is staged beside ``out`` and
-    moved there at the end: a failing embedder leaves the old index as it was.
-    Identifiers and hashes depend on contents alone, not on paths, order or
-    partitions."""
+def build(spark: SparkSession, documents: DataFrame, chunks: DataFrame, manifest: DataFrame, out: str, embedder: Embedder | None = None) -> dict[str, int]:
+    """Writes an index of chunks (doc_id, chunk_index, text) and returns its
+    counts. Each table is derived from the written one before it; terms are
+    sorted by term in each file, so that a look-up reads few row groups.
+    Everything is staged beside ``out`` and moved there at the end: a failing
+    embedder leaves the old index as it was. Identifiers and hashes depend on
+    contents alone, not on paths, order or partitions."""
     stage = f"{out.rstrip('/')}-staged-{uuid.uuid4().hex}"
 
     def put(name: str, rows: DataFrame) -> DataFrame:
-        rows.write.parquet(f"{stage}/{name}")
+        # identifiers repeat: larger dictionaries hold them once for each row group
+        rows.write.option("parquet.dictionary.page.size", 1 << 24).parquet(f"{stage}/{name}")
         return spark.read.schema(TABLES[name]).parquet(f"{stage}/{name}")
 
     docs = put("documents", documents.select("doc_id", "rel_path", "sha256", "size", "kind"))
-    chunks = put("chunks", chunk_table(texts))
+    chunks = put("chunks", with_ids(chunks))
     terms = put("terms", term_table(chunks).sortWithinPartitions("term", "chunk_id", "position"))
     lengths = put("chunk_stats", chunk_lengths(chunks))
     put("corpus_stats", corpus_counts(lengths))
+    # ranges of term and chunk, so that a term of all chunks is not one task's
+    postings = put("postings", posting_table(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"))
+    put("term_stats", term_frequencies(postings))
     counts = {"documents": docs.count(), "chunks": chunks.count(), "terms": terms.count(), "vectors": 0}
     manifest_sha, chunks_sha = fingerprint(manifest), fingerprint(chunks)
     run = spark.range(1).select(run_id(manifest_sha, chunks_sha).alias("run_id"), F.lit(manifest_sha).alias("manifest_sha256"), F.lit(chunks_sha).alias("chunks_sha256"), *[F.lit(counts[t]).cast("long").alias(c) for t, c in (("documents", "doc_count"), ("chunks", "chunk_count"), ("terms", "term_count"))])
@@ -126,15 +169,3 @@ def _swap(spark: SparkSession, stage: str, out: str) -> None:
 
 def load(spark: SparkSession, path: str) -> Index:
     return Index(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()})
-
-
-def in_memory(documents: DataFrame, texts: DataFrame, embedder: Embedder | None = None) -> Index:
-    """An index of DataFrames that are evaluated when asked, for one-off queries."""
-    spark = documents.sparkSession
-    chunks = chunk_table(texts)
-    lengths = chunk_lengths(chunks)
-    vectors = with_norm(embed_rows(chunks.select("chunk_id", "text"), embedder)) if embedder else spark.createDataFrame([], TABLES["vectors"])
-    counts = documents.agg(F.count(F.lit(1)).alias("doc_count")).join(lengths.agg(F.count(F.lit(1)).alias("chunk_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("term_count")), F.lit(True))
-    runs = counts.select(F.lit("").alias("run_id"), F.lit("").alias("manifest_sha256"), F.lit("").alias("chunks_sha256"), "doc_count", "chunk_count", "term_count")
-    meta = spark.createDataFrame(sorted(embedder_meta(embedder)) if embedder else [], TABLES["meta"])
-    return Index(documents, chunks, term_table(chunks), lengths, corpus_counts(lengths), runs, meta, vectors)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.chunking import chunk_rows
 from ..functions.hashing import sha256
 from ..sources import files as S
 
@@ -28,11 +30,15 @@ def duplicate_groups(files: DataFrame) -> DataFrame:
     return groups.filter(F.size("paths") > 1).select("sha256", "canonical", F.slice("paths", F.lit(2), F.size("paths")).alias("duplicates"))
 
 
-def summary(files: DataFrame) -> DataFrame:
-    """files, unique and duplicates in one row."""
-    dup = (F.col("status") == "duplicate").cast("long")
-    counted = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(dup), F.lit(0)).cast("long").alias("duplicates"))
-    return counted.select("files", (F.col("files") - F.col("duplicates")).alias("unique"), "duplicates")
+def summary(files: DataFrame, quarantine: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
+    """files, unique and duplicates in one row; with the other tables also
+    quarantined and skipped."""
+    tables = {"files": files, "quarantined": quarantine, "skipped": skipped}
+    kinds = [rows.select(F.lit(name).alias("what"), (F.col("status") == "duplicate").alias("dup") if name == "files" else F.lit(False).alias("dup")) for name, rows in tables.items() if rows is not None]
+    count = lambda condition: F.coalesce(F.sum(condition.cast("long")), F.lit(0)).cast("long")
+    counted = reduce(DataFrame.unionByName, kinds).agg(*[count(F.col("what") == name).alias(name) for name in tables], count(F.col("dup")).alias("duplicates"))
+    others = [c for c in ("quarantined", "skipped") if tables[c] is not None]
+    return counted.select("files", (F.col("files") - F.col("duplicates")).alias("unique"), "duplicates", *others)
 
 
 def classify(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -49,26 +55,38 @@ def classify(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def ingest(spark: SparkSession, root: str | Path, quarantine_dir: str | Path | None = None) -> dict[str, DataFrame | int]:
     """files, quarantine, skipped, duplicates and symlink_dirs_skipped of a
-    folder. With a quarantine folder the log and the kept bytes are written
-    there; it may not lie inside the corpus, and nothing in it is deleted but
-    what an earlier run of this function wrote."""
-    paths, refused, passed = S.walk(root)
-    files, bad, skipped = classify(S.read_binary(spark, root, paths))
-    other = spark.createDataFrame([(p, r, None, None) for p, r in refused], S.QUARANTINE + ", content binary")
-    quarantine = bad.unionByName(other)
+    folder. Only paths that the walk allows are opened. With a quarantine folder
+    the log and the kept bytes are written there; it may not lie inside the
+    corpus."""
+    target = None
     if quarantine_dir is not None:
         target = Path(quarantine_dir).resolve()
-        if S.is_within(root, target):
+        if S.is_local(root) and S.is_within(root, target):
             raise S.UnsafePathError("the quarantine folder lies inside the corpus")
-        S.write_quarantine(quarantine.orderBy("rel_path").coalesce(1), str(target / "quarantine_log"))
-        kept = quarantine.filter(F.col("content").isNotNull()).select(T.file_name_safe(F.col("rel_path")).alias("name"), "rel_path", "sha256", "content")
-        kept.write.mode("overwrite").parquet(str(target / "contents"))
+    paths, refused, passed = S.walk(root) if S.is_local(root) else (None, [], 0)
+    read = S.read_binary(spark, root, paths)
+    files, bad, skipped = classify(read)
+    quarantine = bad.unionByName(spark.createDataFrame([(p, r, None, None) for p, r in refused], S.QUARANTINE + ", content binary"))
+    if paths is not None:
+        gone = spark.createDataFrame([(p,) for p in paths], "rel_path string").join(read.select("rel_path"), "rel_path", "left_anti")
+        quarantine = quarantine.unionByName(gone.select("rel_path", F.lit("unreadable: FileNotFoundError").alias("reason"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("binary").alias("content")))
+    if target is not None:
+        S.keep_quarantined(quarantine.withColumn("name", T.file_name_safe(F.col("rel_path"))), target)
     return {"files": files, "quarantine": quarantine.select("rel_path", "reason", "sha256"), "skipped": skipped, "duplicates": duplicate_groups(files), "symlink_dirs_skipped": passed}
 
 
+def write_tables(found: dict, out: str) -> dict[str, int]:
+    """The manifest as Parquet tables under ``out``, whatever its size, and its counts."""
+    spark = found["files"].sparkSession
+    for name in ("files", "quarantine", "skipped", "duplicates"):
+        found[name].write.mode("overwrite").parquet(f"{out}/{name}")
+    written = {name: spark.read.parquet(f"{out}/{name}") for name in ("files", "quarantine", "skipped")}
+    return summary(**written).first().asDict() | {"symlink_dirs_skipped": found["symlink_dirs_skipped"]}
+
+
 def manifest_dict(found: dict, root: str | Path) -> dict:
-    """The manifest as one JSON object for export. Small corpora only: it is
-    the interchange form, the tables are what the engine works on."""
+    """The manifest as one JSON object for export. It gathers a row for each
+    file; ``write_tables`` is the form for corpora of any size."""
     rows = lambda df, key: [r.asDict() for r in df.orderBy(key).collect()]
     files = rows(found["files"], "rel_path")
     parts = {"quarantine": rows(found["quarantine"], "rel_path"), "skipped": rows(found["skipped"], "rel_path"), "duplicates": rows(found["duplicates"], "sha256")}
@@ -83,16 +101,41 @@ def documents_of(files: DataFrame) -> DataFrame:
 
 
 def texts_of(spark: SparkSession, root: str | Path, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rel_path, text) and (doc_id, rel_path, error) of a folder's
-    documents. PDFs are read where the library is there, and otherwise left out
-    with the error ``pdf_skipped``."""
-    rows = S.read_binary(spark, root).join(documents.select("doc_id", "rel_path", "kind"), "rel_path")
-    plain = rows.filter(F.col("kind") != "pdf").select("doc_id", "rel_path", F.decode("content", "UTF-8").alias("text"))
+    """(doc_id, rel_path, kind, text) and (doc_id, rel_path, error) of a
+    folder's documents. PDFs are read where the library is there, and otherwise
+    left out with the error ``pdf_skipped``; documents whose file is not there
+    any more have an error too."""
+    read = S.read_binary(spark, root, S.listed(root)).select("rel_path", "content")
+    rows = documents.select("doc_id", "rel_path", "kind").join(read, "rel_path", "left")
+    gone = rows.filter(F.col("content").isNull()).select("doc_id", "rel_path", F.lit("FileNotFoundError").alias("error"))
+    rows = rows.filter(F.col("content").isNotNull())
+    plain = rows.filter(F.col("kind") != "pdf").select("doc_id", "rel_path", "kind", F.decode("content", "UTF-8").alias("text"))
     pdf = rows.filter(F.col("kind") == "pdf")
     if not S.pdf_available():
-        return plain, pdf.select("doc_id", "rel_path", F.lit("pdf_skipped").alias("error"))
-    read = S.pdf_texts(pdf)
-    return plain.unionByName(read.filter(F.col("error").isNull()).select("doc_id", "rel_path", "text")), read.filter(F.col("error").isNotNull()).select("doc_id", "rel_path", "error")
+        return plain, gone.unionByName(pdf.select("doc_id", "rel_path", F.lit(PDF_SKIPPED).alias("error")))
+    parsed = S.pdf_texts(pdf)
+    good = parsed.filter(F.col("error").isNull()).select("doc_id", "rel_path", F.lit("pdf").alias("kind"), "text")
+    return plain.unionByName(good), gone.unionByName(parsed.filter(F.col("error").isNotNull()).select("doc_id", "rel_path", "error"))
+
+
+PDF_SKIPPED = "pdf_skipped"
+
+
+def chunks_of(texts: DataFrame) -> DataFrame:
+    """doc_id, rel_path, chunk_index and text of the chunks of ``texts_of``."""
+    return chunk_rows(texts, "doc_id", "rel_path")
+
+
+def parse_counters(documents: DataFrame, texts: DataFrame, chunks: DataFrame, errors: DataFrame) -> DataFrame:
+    """documents, chunks, pdf_ok, pdf_skipped, empty (read, but without a chunk)
+    and errors (without skipped PDFs) in one row, by one pass over labels."""
+    label = lambda rows, name: rows.select(F.lit(name).alias("what"))
+    parts = [
+        label(documents, "documents"), label(chunks, "chunks"), label(texts.filter("kind = 'pdf'"), "pdf_ok"), label(errors.filter(F.col("error") == PDF_SKIPPED), "pdf_skipped"),
+        label(texts.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti"), "empty"), label(errors.filter(F.col("error") != PDF_SKIPPED), "errors"),
+    ]
+    names = ("documents", "chunks", "pdf_ok", "pdf_skipped", "empty", "errors")
+    return reduce(DataFrame.unionByName, parts).agg(*[F.coalesce(F.sum((F.col("what") == n).cast("long")), F.lit(0)).cast("long").alias(n) for n in names])
 
 
 def from_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

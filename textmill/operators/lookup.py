@@ -15,13 +15,22 @@ def list_documents(index: Index, limit: int = 100) -> DataFrame:
     return rows.select("doc_id", "rel_path", "sha256", "size", "kind", F.coalesce("chunks", F.lit(0)).alias("chunks")).orderBy("rel_path").limit(limit)
 
 
+def document_chunks(index: Index, wanted: DataFrame) -> DataFrame:
+    """The documents in ``wanted`` (doc_id) with each of their chunks; one row
+    without a chunk for a document that has none."""
+    found = index.documents.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    return found.join(index.chunks, "doc_id", "left").select("doc_id", "rel_path", "sha256", "size", "kind", "chunk_id", "chunk_index", "text")
+
+
 def get_document(index: Index, doc_id: str) -> dict | None:
-    """A document with its chunks in order, or None."""
-    found = index.documents.filter(F.col("doc_id") == doc_id).first()
-    if found is None:
+    """A document with its chunks in order, or None. Of one document, so what
+    comes to the driver is its text."""
+    wanted = index.documents.sparkSession.createDataFrame([(doc_id,)], "doc_id string")
+    rows = [r.asDict() for r in document_chunks(index, wanted).orderBy("chunk_index").collect()]
+    if not rows:
         return None
-    chunks = index.chunks.filter(F.col("doc_id") == doc_id).orderBy("chunk_index").select("chunk_id", "chunk_index", "text").collect()
-    return found.asDict() | {"chunks": [c.asDict() for c in chunks]}
+    chunks = [{k: r[k] for k in ("chunk_id", "chunk_index", "text")} for r in rows if r["chunk_id"] is not None]
+    return {k: rows[0][k] for k in ("doc_id", "rel_path", "sha256", "size", "kind")} | {"chunks": chunks}
 
 
 def chunk_context(index: Index, wanted: DataFrame, window: int = 1) -> DataFrame:

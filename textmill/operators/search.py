@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,37 +30,41 @@ def queries_of(index: Index, texts: list[str]) -> DataFrame:
 def top(scored: DataFrame, limit: int, score: str = "score") -> DataFrame:
     """rank (from 1) and the ``limit`` best chunks of each query, ties to the
     smaller chunk_id. Tasks keep their own best before they are shuffled."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return scored.withColumn("rank", F.row_number().over(_order(score))).filter(F.col("rank") <= limit)
+
+
+def _order(score: str) -> WindowSpec:
+    return Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.distinct_tokens(F.col("query"))).alias("term"))
 
 
-def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score of every chunk that holds a token of a query.
-    A token counts once however often the query repeats it. Document
-    frequencies are exact; terms are filtered to the queries' before anything
-    is counted."""
-    asked = query_tokens(queries)
-    wanted = index.terms.join(F.broadcast(asked.select("term").distinct()) if _few(asked) else asked.select("term").distinct(), "term", "left_semi")
-    tf = wanted.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = asked.join(df, "term").join(index.corpus_stats, F.lit(True))
-    idf = F.log(1.0 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    per_term = weighted.select("query_id", "term", idf.alias("idf"), "average")
-    hits = tf.join(per_term, "term").join(index.chunk_stats, "chunk_id")
-    spread = F.when(F.col("average") > 0, F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average"))).otherwise(F.col("tf"))
-    return hits.select("query_id", "chunk_id", (F.col("idf") * F.col("tf") * (K1 + 1) / spread).alias("part")).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-
-
-#: Query tokens up to which they are sent to every task.
+#: Query tokens up to which they are held by the driver and sent to every task.
 BROADCAST_TOKENS = 100_000
 
 
-def _few(asked: DataFrame) -> bool:
-    return len(asked.limit(BROADCAST_TOKENS + 1).select(F.lit(1)).collect()) <= BROADCAST_TOKENS
+def held(rows: DataFrame, most: int) -> DataFrame:
+    """The same few rows as a local table, which joins broadcast and need not be
+    made again; as they are where there are more than ``most``. One job."""
+    found = rows.limit(most + 1).toArrow()
+    return rows.sparkSession.createDataFrame(found, rows.schema) if found.num_rows <= most else rows
+
+
+def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score of every chunk that holds a token of a query.
+    A token counts once however often the query repeats it. Frequencies are
+    exact and were counted when the index was built, so the postings of the
+    queries' tokens are read once and summed."""
+    asked = held(query_tokens(queries), BROADCAST_TOKENS)
+    corpus = index.corpus_stats.first()
+    chunks, average = F.lit(float(corpus["chunks"])), F.lit(float(corpus["average"]))
+    idf = F.log(1.0 + (chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = held(asked.join(index.term_stats, "term").select("query_id", "term", idf.alias("idf")), BROADCAST_TOKENS)
+    spread = F.when(average > 0, F.col("tf") + K1 * (1 - B + B * F.col("length") / average)).otherwise(F.col("tf"))
+    hits = index.postings.join(weighted, "term").select("query_id", "chunk_id", (F.col("idf") * F.col("tf") * (K1 + 1) / spread).alias("part"))
+    return hits.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
 def described(index: Index, ranked: DataFrame, queries: DataFrame | None = None) -> DataFrame:
@@ -79,62 +83,92 @@ def bm25(index: Index, queries: DataFrame, limit: int = 20) -> DataFrame:
     return described(index, top(bm25_scores(index, queries), limit), queries)
 
 
-def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
-    """In double precision; 0 where either vector is zero."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda n, x: n + x)
-    return F.when((norm_a > 0) & (norm_b > 0), dot / (norm_a * norm_b)).otherwise(0.0)
-
-
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double")))
 
 
-def vector_scores(index: Index, vectors: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score against every chunk: the stated queries
-    (query_id, embedding) go to the chunks' tasks."""
-    asked = vectors.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
-    pairs = index.vectors.join(asked, F.size("embedding") == F.size("q"))
-    return pairs.select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q"), F.col("norm"), F.col("qn")).alias("score"))
+#: Query vectors up to which they are sent to every task; more are dealt to blocks of as many.
+BROADCAST_VECTORS = 4096
+#: Chunks of a shard that a block of more query vectors meets.
+SHARD_VECTORS = 1 << 16
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.sqrt((rows**2).sum(axis=1))
+    return rows / np.where(length > 0, length, 1)[:, None]
 
 
-#: Numbers in the queries' vectors up to which they are sent to every task.
-BROADCAST_NUMBERS = 4_000_000
+#: Scores that a worker holds at once.
+SCORES = 1 << 22
+
+
+def _best(chunk_ids: pa.Array, embedding: pa.Array, asked: dict[int, tuple[np.ndarray, np.ndarray]], limit: int) -> Iterator[pa.RecordBatch]:
+    """The best of some chunks for each query of the same dimension, with all
+    that tie with the last; cosines in double precision, 0 for zero vectors.
+    Chunks are scored a part at a time, first for the last score that counts,
+    and again for what reaches it if there are several parts."""
+    sizes = pc.list_value_length(embedding).to_numpy(zero_copy_only=False)
+    for dim, (query_ids, matrix) in asked.items():
+        own = np.flatnonzero(sizes == dim)
+        step = max(1, SCORES // len(query_ids))
+
+        def scored(rows: np.ndarray, dim: int = dim, matrix: np.ndarray = matrix) -> np.ndarray:
+            chunks = embedding.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim).astype(np.float64)
+            return np.round(matrix @ _unit(chunks).T, 12)
+
+        parts = [own[i : i + step] for i in range(0, len(own), step)]
+        made = [scored(parts[0])] if len(parts) == 1 else None
+        top_scores = np.full((len(query_ids), 0), 0.0)
+        for k, part in enumerate(parts):
+            both = np.concatenate([top_scores, made[k] if made else scored(part)], axis=1)
+            top_scores = np.partition(both, -limit, axis=1)[:, -limit:] if both.shape[1] > limit else both
+        for k, part in enumerate(parts):
+            scores = made[k] if made else scored(part)
+            q, at = np.nonzero(scores >= top_scores.min(axis=1)[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), chunk_ids.take(pa.array(part[at])), pa.array(scores[q, at])], names=["query_id", "chunk_id", "score"])
+
+
+def _by_dimension(query_ids: list[int], vectors: list[list[float]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    found: dict[int, tuple[list[int], list]] = {}
+    for i, v in zip(query_ids, vectors, strict=True):
+        ids, rows = found.setdefault(len(v), ([], []))
+        ids.append(i)
+        rows.append(v)
+    return {dim: (np.array(ids, dtype=np.int64), _unit(np.array(rows, dtype=np.float64).reshape(len(ids), dim))) for dim, (ids, rows) in found.items()}
+
+
+_SCORED = "query_id long, chunk_id string, score double"
 
 
 def nearest(index: Index, vectors: DataFrame, limit: int) -> DataFrame:
-    """query_id, chunk_id, score, rank of the ``limit`` nearest chunks. Queries
-    of a checked size go to the tasks as a matrix; each batch of chunks is
-    multiplied with it and only its best (and what ties with them) is kept.
-    More queries than that are joined to the chunks."""
-    ids, rows, numbers = [], [], 0
-    for row in vectors.select("query_id", "embedding").toLocalIterator():
-        ids.append(row["query_id"])
-        rows.append(np.asarray(row["embedding"], dtype=np.float64))
-        numbers += len(rows[-1])
-        if numbers > BROADCAST_NUMBERS:
-            return top(vector_scores(index, vectors), limit)
-    asked = {}
-    for dim in {len(r) for r in rows}:
-        matrix = np.stack([r for r in rows if len(r) == dim])
-        length = np.sqrt((matrix**2).sum(axis=1))
-        asked[dim] = np.array([i for i, r in zip(ids, rows, strict=True) if len(r) == dim], dtype=np.int64), matrix / np.where(length > 0, length, 1)[:, None]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            embedding, chunk_ids = batch.column("embedding"), batch.column("chunk_id")
-            sizes = pc.list_value_length(embedding).to_numpy(zero_copy_only=False)
-            for dim, (query_ids, matrix) in asked.items():
-                own = np.flatnonzero(sizes == dim)
-                if not len(own):
-                    continue
-                chunks = embedding.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dim).astype(np.float64)
-                length = np.sqrt((chunks**2).sum(axis=1))
-                scores = np.round((chunks / np.where(length > 0, length, 1)[:, None]) @ matrix.T, 12)
-                least = np.partition(scores, -limit, axis=0)[-limit] if len(own) > limit else np.full(len(query_ids), -np.inf)
-                at, q = np.nonzero(scores >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), chunk_ids.take(pa.array(own[at])), pa.array(scores[at, q])], names=["query_id", "chunk_id", "score"])
-
-    return top(index.vectors.select("chunk_id", "embedding").mapInArrow(run, "query_id long, chunk_id string, score double"), limit)
+    """query_id, chunk_id, score, rank of the ``limit`` nearest chunks to each
+    query (query_id, embedding), by cosine. A few queries go to the tasks as a
+    matrix, which each batch of chunks is multiplied with. More are dealt to
+    blocks that meet the chunks in shards of a bounded size. Either way only the
+    best of a batch or shard is kept."""
+    chunks = index.vectors.select("chunk_id", "embedding")
+    few = vectors.select("query_id", "embedding").limit(BROADCAST_VECTORS + 1).toArrow()
+    if few.num_rows <= BROADCAST_VECTORS:
+        asked = _by_dimension(few.column("query_id").to_pylist(), few.column("embedding").to_pylist())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _best(batch.column("chunk_id"), batch.column("embedding"), asked, limit)
+
+        return top(chunks.mapInArrow(run, _SCORED), limit)
+    n, m = chunks.count(), vectors.count()
+    shards, blocks = -(-n // SHARD_VECTORS), -(-m // BROADCAST_VECTORS)
+    deal = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(max(1, parts))).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(max(1, parts) - 1)))
+    left = vectors.select("query_id", "embedding", deal("query_id", blocks).alias("block"), each(shards).alias("shard"))
+    right = chunks.select("chunk_id", "embedding", deal("chunk_id", shards).alias("shard"), each(blocks).alias("block"))
+
+    def meet(key: tuple, queries: pa.Table, shard: pa.Table) -> pa.Table:
+        asked = _by_dimension(queries.column("query_id").to_pylist(), queries.column("embedding").to_pylist())
+        made = list(_best(shard.column("chunk_id").combine_chunks(), shard.column("embedding").combine_chunks(), asked, limit)) if shard.num_rows else []
+        return pa.Table.from_batches(made, schema=pa.schema([("query_id", pa.int64()), ("chunk_id", pa.string()), ("score", pa.float64())]))
+
+    return top(left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, _SCORED), limit)
 
 
 def embed_queries(queries: DataFrame, embedder: Embedder) -> DataFrame:
@@ -153,11 +187,11 @@ def minmax(values: DataFrame, column: str, by: str = "query_id") -> DataFrame:
     return values.join(ends, by).withColumn("norm", scaled).drop("_lo", "_hi")
 
 
-def fuse(term: DataFrame, vectors: DataFrame, limit: int, alpha: float = ALPHA) -> DataFrame:
+def fuse(term: DataFrame, vectors: DataFrame, limit: int | None, alpha: float = ALPHA) -> DataFrame:
     """The two sides' candidates (query_id, chunk_id, score), fused: a chunk
     that one side lacks gets that side's least score (0 for terms, -1 for
     vectors where the side is empty), each side is scaled by ``minmax``, and the
-    sum weighs vectors by ``alpha``."""
+    sum weighs vectors by ``alpha``. Without a limit all candidates are ranked."""
     t = term.select("query_id", "chunk_id", F.col("score").alias("t"))
     v = vectors.select("query_id", "chunk_id", F.col("score").alias("v"))
     pool = t.join(v, ["query_id", "chunk_id"], "full_outer")
@@ -168,17 +202,23 @@ def fuse(term: DataFrame, vectors: DataFrame, limit: int, alpha: float = ALPHA)
         return F.when(hi == lo, 1.0).otherwise((F.coalesce(value, lo) - lo) / (hi - lo))
 
     score = alpha * scaled("v") + (1 - alpha) * scaled("t")
-    return top(pool.join(ends, "query_id").select("query_id", "chunk_id", score.alias("score")), limit)
+    fused = pool.join(ends, "query_id").select("query_id", "chunk_id", score.alias("score"))
+    return fused.withColumn("rank", F.row_number().over(_order("score"))) if limit is None else top(fused, limit)
 
 
-def hybrid(index: Index, queries: DataFrame, embedder: Embedder, limit: int = 20, alpha: float = ALPHA) -> DataFrame:
-    """Each side gives its best ``POOL`` times ``limit``; that cut decides who
-    can be fused, so a smaller limit is no prefix of a larger one."""
+def hybrid_of(index: Index, queries: DataFrame, vectors: DataFrame, limit: int = 20, alpha: float = ALPHA) -> DataFrame:
+    """Hybrid search with the queries' vectors (query_id, embedding) given. Each
+    side gives its best ``POOL`` times ``limit``; that cut decides who can be
+    fused, so a smaller limit is no prefix of a larger one."""
     term = top(bm25_scores(index, queries), POOL * limit)
-    near = nearest(index, embed_queries(queries, embedder), POOL * limit)
+    near = nearest(index, vectors, POOL * limit)
     return described(index, fuse(term, near, limit, alpha), queries)
 
 
+def hybrid(index: Index, queries: DataFrame, embedder: Embedder, limit: int = 20, alpha: float = ALPHA) -> DataFrame:
+    return hybrid_of(index, queries, embed_queries(queries, embedder), limit, alpha)
+
+
 def run(index: Index, queries: DataFrame, mode: str, embedder: Embedder | None = None, limit: int = 20, alpha: float = ALPHA) -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}, choose one of {', '.join(MODES)}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -17,7 +18,7 @@ SKIPPED = "rel_path string, kind string, reason string"
 DUPLICATES = "sha256 string, canonical string, duplicates array<string>"
 CHUNKS = "chunk_index long, doc_id string, rel_path string, text string"
 MANIFEST = (
-    f"schema_version int, files array<struct<{FILES.replace(' ', ':').replace(',:', ',')}>>, "
+    f"schema_version int, corpus_root string, files array<struct<{FILES.replace(' ', ':').replace(',:', ',')}>>, "
     f"quarantine array<struct<{QUARANTINE.replace(' ', ':').replace(',:', ',')}>>, skipped array<struct<{SKIPPED.replace(' ', ':').replace(',:', ',')}>>, "
     "duplicates array<struct<sha256:string,canonical:string,duplicates:array<string>>>, "
     "summary struct<files:long,unique:long,duplicates:long,quarantined:long,skipped:long,symlink_dirs_skipped:long>"
@@ -77,18 +78,31 @@ def walk(root: str | Path) -> tuple[list[str], list[tuple[str, str]], int]:
     return sorted(paths), sorted(refused), passed
 
 
+def is_local(root: str | Path) -> bool:
+    return "://" not in str(root)
+
+
+def listed(root: str | Path) -> list[str] | None:
+    """The paths under a local root that may be read; None for a root that only
+    Spark can list, where there are no links."""
+    return walk(root)[0] if is_local(root) else None
+
+
 def read_binary(spark: SparkSession, root: str | Path, paths: list[str] | None = None) -> DataFrame:
-    """rel_path, content and size of the files under ``root``; of ``paths`` only, if given."""
-    base = str(root) if "://" in str(root) else Path(root).resolve().as_uri().replace("file:///", "file:/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    start = base.replace("file:", "").rstrip("/") + "/"
-    rel = F.url_decode(F.replace(F.expr("substring(p, length(s) + 1)"), F.lit("+"), F.lit("%2B")))
-    rows = found.select("content", F.col("length").alias("size"), plain.alias("p"), F.lit(start).alias("s")).select(rel.alias("rel_path"), "content", "size")
+    """rel_path, content and size: of the files in ``paths`` and no others, or,
+    without paths, of all files under a root without links. A file that has gone
+    since it was listed has no row."""
+    base = f"file://{Path(root).resolve().as_posix()}" if is_local(root) else str(root).rstrip("/")
+    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
     if paths is None:
-        return rows
-    wanted = spark.createDataFrame([(p,) for p in paths], "rel_path string")
-    return rows.join(wanted, "rel_path", "left_semi")
+        found = reader.option("recursiveFileLookup", "true").load(base)
+    elif paths:
+        found = reader.load([re.sub(r"([\[\]{}*?,\\^])", r"\\\1", f"{base}/{p}") for p in paths])
+    else:
+        return spark.createDataFrame([], "rel_path string, content binary, size long")
+    root_path = re.sub("^[a-z0-9]+:/+", "/", base) if is_local(root) else base
+    shown = F.regexp_replace("path", "^file:/+", "/")  # as the file system names it, nothing escaped
+    return found.select(F.substring(shown, F.lit(len(root_path) + 2), F.length(shown)).alias("rel_path"), "content", F.col("length").alias("size"))
 
 
 def pdf_reader() -> Callable[[bytes], str] | None:
@@ -150,9 +164,24 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.select("chunk_index", "doc_id", "rel_path", "text").write.mode("overwrite").json(path)
 
 
-def write_quarantine(rows: DataFrame, path: str) -> None:
-    """Log of the quarantined paths: rel_path, reason and hash between tabs."""
-    rows.select("rel_path", "reason", "sha256").write.mode("overwrite").option("sep", "\t").option("header", False).csv(path)
+QUARANTINE_LOG = "quarantine_log.tsv"
+
+
+def keep_quarantined(rows: DataFrame, folder: Path) -> None:
+    """Writes what is known of quarantined paths (rel_path, reason, sha256, name
+    and content of those that were read): the bytes under their names and a log
+    with tabs. Rows come to the driver a partition at a time. Files that an
+    earlier log lists are deleted first, and nothing else."""
+    log = folder / QUARANTINE_LOG
+    if log.exists():
+        for line in log.read_text().splitlines():
+            (folder / line.split("\t")[0].replace("/", "__").replace("\\", "__")).unlink(missing_ok=True)
+    folder.mkdir(parents=True, exist_ok=True)
+    with log.open("w") as out:
+        for row in rows.orderBy("rel_path").toLocalIterator():
+            out.write(f"{row['rel_path']}\t{row['reason']}\t{row['sha256'] or ''}\n")
+            if row["content"] is not None:
+                (folder / row["name"]).write_bytes(row["content"])
 
 
 def read_exemptions(spark: SparkSession, path: str | None) -> DataFrame:
