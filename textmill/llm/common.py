@@ -41,14 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
 _written: dict[str, SparkSession] = {}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it again:
     lineage is cut, lost executors cost nothing that was written, and several
     readers share one computation. The files stay until ``discard`` or, for what
     a result still reads, until the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _written[path] = spark
     made = spark.read.schema(df.schema).parquet(path)
     made._textmill_path = path

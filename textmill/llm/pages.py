@@ -335,7 +335,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Null, empty and text-free pages have an empty text; pages without a host are
     those of one host; an empty table gives an empty result; other columns are
     ignored."""
-    parsed = materialize(parse(pages), "parsed")
+    parsed = materialize(parse(pages), "parsed", "zstd")
     known = templates(parsed.select("host", "body", "counted"))
     joined = join_hosts(parsed.drop("counted", "body"), known, "host", F.struct("page_id", "url"))
     columns = ("parents", "flags", "slots", "hashes", "owners", "texts", "template", "slots_")
