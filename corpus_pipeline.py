@@ -24,9 +24,17 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang", "source", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
 
 
+#: Rejected ids up to which they are sent to every task instead of shuffling the texts.
+BROADCAST_IDS = 1 << 20
+
+
 def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among the rejected ones (doc_id, kept)."""
-    rejected = judged.filter(~F.col("kept")).select("doc_id").distinct()
+    """The rows whose doc_id is not among the rejected ones (doc_id, kept). The
+    ids are written and counted; beyond ``BROADCAST_IDS`` both sides are
+    shuffled by doc_id."""
+    rejected = materialize(judged.filter(~F.col("kept")).select("doc_id").distinct(), "rejected")
+    if rejected.count() <= BROADCAST_IDS:
+        rejected = F.broadcast(rejected)
     return _documents(docs.join(rejected, "doc_id", "left_anti"))
 
 
@@ -65,6 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what all stages keep, as ``packing.pack`` gives
+    them. A null or empty text fails the quality rules; repeated rows stay
+    together through every stage but the near-duplicates', which keeps or drops
+    all rows of a doc_id; columns that documents does not have are left out; an
+    empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
