@@ -21,9 +21,11 @@ known. The scanner reads on from every character once, whatever the markup.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html import unescape
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,12 +190,14 @@ class Page:
     def _flush(self) -> None:
         if self._buffer:
             piece = " ".join("".join(self._buffer).split())
+            if not piece.isascii():
+                piece = piece.encode("utf-8", "replace").decode()
             self._buffer.clear()
             if piece:
                 if not self.flags[self._block] & DROPPED:
                     self.owners.append(self._block)
                     self.texts.append(piece)
-                self._parts[self._block].append(piece.encode("utf-8", "surrogatepass"))
+                self._parts[self._block].append(piece.encode())
 
     def _start(self, html: str, tag: str, attributes: dict[str, str], at: int) -> int:
         for closed in CLOSES.get(tag, ()):
@@ -265,7 +269,7 @@ class Page:
         return list({(_signed(s), _signed(h), bool(f & WEAK)) for p, f, s, h, filled in rows if filled and not (f & HOLDS_MAIN or self.flags[p] & DROPPED)})
 
 
-def main_text(parents: list[int], flags: list[int], slots: list[int], hashes: list[int], owners: list[int], texts: list[str], template: set[int], template_slots: set[int]) -> str:
+def main_text(parents: list[int], flags: list[int], slots: list[int], hashes: list[int], owners: list[int], texts: list[str], template: Collection[int], template_slots: Collection[int]) -> str:
     """The text of a page's blocks without those of fixed roles and of the
     host's template: that of its articles, or all of it where they hold less
     than a part of it. An article and what it stands in are never deleted by
@@ -283,27 +287,38 @@ def main_text(parents: list[int], flags: list[int], slots: list[int], hashes: li
 _PARSED = "page_id long, url string, host string, body long, counted array<struct<slot:long,text:long,weak:boolean>>, parents array<int>, flags array<int>, slots array<long>, hashes array<long>, owners array<int>, texts array<string>"
 
 
+def _lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(list(chain.from_iterable(rows)), kind))
+
+
+def _rows(column: pa.Array) -> Iterator[list]:
+    """A list column's values; an empty list for null."""
+    bounds, flat = column.offsets.to_pylist(), column.flatten().to_pylist()
+    return (flat[a - bounds[0] : b - bounds[0]] for a, b in zip(bounds, bounds[1:], strict=False))
+
+
 def parse(pages: DataFrame) -> DataFrame:
     """A row for each page: what ``main_text`` needs of it, and for the counts
     its hashed blocks and ``body``, the smallest hash of the five-word shingles
     of its text: pages of nearly the same text mostly share it."""
     host, _ = host_and_path(F.col("url"))
-    fields = [pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.int64()), ("weak", pa.bool_())])), *(pa.list_(t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()))]
 
     @collector_off
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(5)
         for batch in slices(batches, 64):
-            bodies, rows = [], []
+            read, bodies, counted = [], [], []
             for html in batch.column("html").to_pylist():
                 page = Page(html or "")
-                parts = page.parents, page.flags, list(map(_signed, page.slots)), list(map(_signed, page.hashes)), page.owners, page.texts
-                shingles = shingle(main_text(*parts, set(), set()).encode("utf-8", "replace").decode())
+                read.append(page)
+                counted.append(page.counted())
+                shingles = shingle(main_text(page.parents, page.flags, page.slots, page.hashes, page.owners, page.texts, (), ()))
                 bodies.append(_signed(int(shingles.min())) if len(shingles) else 0)
-                rows.append(([{"slot": s, "text": t, "weak": w} for s, t, w in page.counted()], *parts[:-1], [t.encode("utf-8", "replace").decode() for t in page.texts]))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            arrays = [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(bodies, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, fields, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "body", "counted", "parents", "flags", "slots", "hashes", "owners", "texts"])
+            flat = list(chain.from_iterable(counted))
+            blocks = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["slot", "text", "weak"])
+            counts = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, counted)]), pa.int32()), blocks)
+            columns = [_lists([p.parents for p in read], pa.int32()), _lists([p.flags for p in read], pa.int32()), _lists([list(map(_signed, p.slots)) for p in read], pa.int64()), _lists([list(map(_signed, p.hashes)) for p in read], pa.int64()), _lists([p.owners for p in read], pa.int32()), _lists([p.texts for p in read], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(bodies, pa.int64()), counts, *columns], names=["page_id", "url", "host", "body", "counted", "parents", "flags", "slots", "hashes", "owners", "texts"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html").mapInArrow(run, _PARSED)
 
@@ -343,8 +358,8 @@ def extract(pages: DataFrame) -> DataFrame:
     @collector_off
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            rows = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
-            texts = [main_text(*parts, set(template or ()), set(slots or ())) for *parts, template, slots in rows]
+            rows = zip(*(_rows(batch.column(c)) for c in columns), strict=True)
+            texts = [main_text(*parts, set(template), set(slots)) for *parts, template, slots in rows]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.select("page_id", "url", *columns).mapInArrow(run, "page_id long, url string, text string, n_chars long")
