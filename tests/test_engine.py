@@ -1,5 +1,6 @@
 import json
 import urllib.parse
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from textmill import api, cli, demo, mcp
 from textmill.functions.embed import local_embedder
 from textmill.functions.hashing import sha256
 from textmill.operators import answer, evaluate, index, ingest, lookup, search, verify
-from textmill.sources import files
+from textmill.sources import files, pdf
 
 #: Tokens of the three different texts of the corpus.
 TERMS = 13 + 13 + 4
@@ -79,10 +80,26 @@ def test_parse_counters(spark, corpus, tmp_path):
     listed = ingest.documents_of(ingest.ingest(spark, corpus)["files"])
     documents = spark.createDataFrame(listed.collect(), listed.schema)
     (corpus / "ledger.csv").unlink()
-    texts, errors = ingest.texts_of(spark, corpus, documents)
-    counted = ingest.parse_counters(documents, texts, ingest.chunks_of(texts), errors).first().asDict()
-    pdf = files.pdf_available()
-    assert counted == {"documents": 5, "chunks": 2 + pdf, "pdf_ok": int(pdf), "pdf_skipped": int(not pdf), "empty": 1, "errors": 1}
+    for pdf in (True, False):
+        texts, errors = ingest.texts_of(spark, corpus, documents, pdf)
+        counted = ingest.parse_counters(documents, texts, ingest.chunks_of(texts), errors).first().asDict()
+        assert counted == {"documents": 5, "chunks": 2 + pdf, "pdf_ok": int(pdf), "pdf_skipped": int(not pdf), "empty": 1, "errors": 1}
+
+
+def test_pdf_texts():
+    assert pdf.text(demo.pdf(("one (1)".replace("(", "\\(").replace(")", "\\051"), "two"))) == "one (1)\n\ntwo"
+    cmap = b"2 beginbfchar\n<0001> <0048>\n<0002> <00E9>\nendbfchar 1 beginbfrange <0003> <0005> <0061> endbfrange"
+    shown = b"BT /F1 9 Tf [<00010002> -500 <0003>] TJ 0 -12 Td <00040005> Tj ET"
+    packed = b"<< /Type /Pages /Kids [4 0 R] /Count 1 /Resources << /Font << /F1 5 0 R >> >> >> << /Type /Page /Parent 3 0 R /Contents [7 0 R] >> << /Type /Font /Subtype /Type0 /ToUnicode 8 0 R >>"
+    second, third = packed.index(b"<< /Type /Page "), packed.index(b"<< /Type /Font")
+    head = f"3 0 4 {second} 5 {third} ".encode()
+    stream = lambda body, more=b"": b"<< " + more + b"/Filter /FlateDecode /Length %d >>\nstream\n" % len(zlib.compress(body)) + zlib.compress(body) + b"\nendstream"
+    objects = {1: b"<< /Type /Catalog /Pages 3 0 R >>", 2: stream(head + packed, b"/Type /ObjStm /N 3 /First %d " % len(head)), 7: stream(shown), 8: stream(cmap)}
+    whole = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n" % k + body + b"\nendobj\n" for k, body in objects.items())
+    assert pdf.text(whole) == "H\u00e9 a\nbc"
+    for bad in (b"", b"no pdf", b"%PDF-1.4", demo.pdf(("x",)).replace(b"/Kids [4 0 R]", b"/Kids [2 0 R]"), whole + b"/Encrypt", whole.replace(b"FlateDecode", b"DCTDecode")):
+        with pytest.raises((pdf.PdfError, ValueError, zlib.error)):
+            pdf.text(bad)
 
 
 def test_build_is_repeatable(spark, corpus, built, tmp_path):

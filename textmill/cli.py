@@ -78,9 +78,7 @@ def do_parse(a: argparse.Namespace) -> int:
     spark = _spark()
     manifest = files.read_manifest(spark, a.manifest)
     documents = ingest.documents_of(files.manifest_files(manifest))
-    texts, errors = ingest.texts_of(spark, a.corpus or manifest.first()["corpus_root"], documents)
-    if not files.pdf_available():
-        print("the PDF library is not installed; PDF files are skipped", file=sys.stderr)
+    texts, errors = ingest.texts_of(spark, a.corpus or manifest.first()["corpus_root"], documents, not a.no_pdf)
     files.write_chunks(ingest.chunks_of(texts), a.out)
     counters = ingest.parse_counters(documents, texts, files.read_chunks(spark, a.out), errors).first().asDict()
     print(json.dumps(counters))
@@ -197,7 +195,7 @@ def parser() -> argparse.ArgumentParser:
     limit = lambda default: ("--limit", {"type": int, "default": default})
     command(sub, "demo", do_demo, ("corpus", {}), ("--queries", {"default": "queries.json"}), ("--seed", {"type": int, "default": demo.SEED}))
     command(sub, "ingest", do_ingest, ("corpus", {}), ("--out", {"default": "manifest.json"}), ("--tables", {"default": None}), ("--quarantine-dir", {"default": None}))
-    command(sub, "parse", do_parse, ("--manifest", {"default": "manifest.json"}), ("--out", {"default": "chunks"}), ("--corpus", {"default": None}), ("--strict", {"action": "store_true"}))
+    command(sub, "parse", do_parse, ("--manifest", {"default": "manifest.json"}), ("--out", {"default": "chunks"}), ("--corpus", {"default": None}), ("--no-pdf", {"action": "store_true"}), ("--strict", {"action": "store_true"}))
     command(sub, "index", do_index, ("--manifest", {"default": "manifest.json"}), ("--chunks", {"default": "chunks"}), ("--corpus", {"default": None}), ("--out", {"default": "index"}), ("--embedder", {"choices": ("local", "http", "none"), "default": "local"}), ("--embedding-base-url", {}), ("--embedding-api-key", {}), ("--embedding-model", {}))
     command(sub, "verify", do_verify, ("corpus", {}), at, ("--manifest", {"default": None}), ("--exemptions", {"default": None}), ("--deep", {"action": "store_true"}))
     command(sub, "eval", do_eval, at, ("--queries", {"default": "queries.json"}), k, mode("hybrid"), ("--check", {"action": "store_true"}), ("--baseline", {"default": "baseline.json"}))

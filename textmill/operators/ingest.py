@@ -100,18 +100,18 @@ def documents_of(files: DataFrame) -> DataFrame:
     return files.filter(F.col("status") == "ok").select(F.col("sha256").alias("doc_id"), "rel_path", "sha256", "size", "kind")
 
 
-def texts_of(spark: SparkSession, root: str | Path, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def texts_of(spark: SparkSession, root: str | Path, documents: DataFrame, read_pdf: bool = True) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rel_path, kind, text) and (doc_id, rel_path, error) of a
-    folder's documents. PDFs are read where the library is there, and otherwise
-    left out with the error ``pdf_skipped``; documents whose file is not there
-    any more have an error too."""
+    folder's documents. PDFs that cannot be read have an error, or, if they are
+    not to be read, the error ``pdf_skipped``; so have documents whose file is
+    not there any more."""
     read = S.read_binary(spark, root, S.listed(root)).select("rel_path", "content")
     rows = documents.select("doc_id", "rel_path", "kind").join(read, "rel_path", "left")
     gone = rows.filter(F.col("content").isNull()).select("doc_id", "rel_path", F.lit("FileNotFoundError").alias("error"))
     rows = rows.filter(F.col("content").isNotNull())
     plain = rows.filter(F.col("kind") != "pdf").select("doc_id", "rel_path", "kind", F.decode("content", "UTF-8").alias("text"))
     pdf = rows.filter(F.col("kind") == "pdf")
-    if not S.pdf_available():
+    if not read_pdf:
         return plain, gone.unionByName(pdf.select("doc_id", "rel_path", F.lit(PDF_SKIPPED).alias("error")))
     parsed = S.pdf_texts(pdf)
     good = parsed.filter(F.col("error").isNull()).select("doc_id", "rel_path", F.lit("pdf").alias("kind"), "text")

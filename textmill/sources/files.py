@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pdf
+
 FILES = "rel_path string, sha256 string, size long, kind string, status string, duplicate_of string"
 QUARANTINE = "rel_path string, reason string, sha256 string"
 SKIPPED = "rel_path string, kind string, reason string"
@@ -105,24 +107,21 @@ def read_binary(spark: SparkSession, root: str | Path, paths: list[str] | None =
     return found.select(F.substring(shown, F.lit(len(root_path) + 2), F.length(shown)).alias("rel_path"), "content", F.col("length").alias("size"))
 
 
-def pdf_reader() -> Callable[[bytes], str] | None:
-    """Text of a PDF's pages, a blank line between them; None without the library."""
+def pdf_reader() -> Callable[[bytes], str]:
+    """Text of a PDF's pages, a blank line between them: by pymupdf where it is
+    installed, else by this package's own reader."""
     try:
         import pymupdf
     except ImportError:
-        return None
+        return pdf.text
 
     def read(content: bytes) -> str:
-        with pymupdf.open(stream=content, filetype="pdf") as pdf:
-            return "\n\n".join(page.get_text() for page in pdf)
+        with pymupdf.open(stream=content, filetype="pdf") as opened:
+            return "\n\n".join(page.get_text() for page in opened)
 
     return read
 
 
-def pdf_available() -> bool:
-    return pdf_reader() is not None
-
-
 def pdf_texts(rows: DataFrame) -> DataFrame:
     """doc_id, rel_path, text and error of PDF rows (doc_id, rel_path,
     content). A file that cannot be read has an error and no text."""
@@ -133,7 +132,7 @@ def pdf_texts(rows: DataFrame) -> DataFrame:
             texts, errors = [], []
             for content in batch.column("content").to_pylist():
                 try:
-                    texts.append(read(content) if read else None)
+                    texts.append(read(content))
                     errors.append(None)
                 except Exception as error:
                     texts.append(None)
