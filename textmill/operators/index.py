@@ -6,6 +6,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import chain
 
@@ -129,16 +130,24 @@ def build(spark: SparkSession, documents: DataFrame, chunks: DataFrame, manifest
         rows.write.option("parquet.dictionary.page.size", 1 << 24).parquet(f"{stage}/{name}")
         return spark.read.schema(TABLES[name]).parquet(f"{stage}/{name}")
 
-    docs = put("documents", documents.select("doc_id", "rel_path", "sha256", "size", "kind"))
+    def postings_and_stats() -> None:
+        # ranges of term and chunk, so that a term of all chunks is not one task's
+        postings = put("postings", posting_table(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"))
+        put("term_stats", term_frequencies(postings))
+
+    def lengths_and_stats() -> None:
+        put("corpus_stats", corpus_counts(put("chunk_stats", chunk_lengths(chunks))))
+
     chunks = put("chunks", with_ids(chunks))
-    terms = put("terms", term_table(chunks).sortWithinPartitions("term", "chunk_id", "position"))
-    lengths = put("chunk_stats", chunk_lengths(chunks))
-    put("corpus_stats", corpus_counts(lengths))
-    # ranges of term and chunk, so that a term of all chunks is not one task's
-    postings = put("postings", posting_table(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"))
-    put("term_stats", term_frequencies(postings))
-    counts = {"documents": docs.count(), "chunks": chunks.count(), "terms": terms.count(), "vectors": 0}
-    manifest_sha, chunks_sha = fingerprint(manifest), fingerprint(chunks)
+    with ThreadPoolExecutor(4) as pool:  # tables that only depend on the chunks are written beside each other
+        docs = pool.submit(put, "documents", documents.select("doc_id", "rel_path", "sha256", "size", "kind"))
+        terms = pool.submit(put, "terms", term_table(chunks).sortWithinPartitions("term", "chunk_id", "position"))
+        others = [pool.submit(postings_and_stats), pool.submit(lengths_and_stats)]
+        manifest_sha, chunks_sha = pool.submit(fingerprint, manifest), pool.submit(fingerprint, chunks)
+        manifest_sha, chunks_sha = manifest_sha.result(), chunks_sha.result()
+        counts = {"documents": docs.result().count(), "chunks": chunks.count(), "terms": terms.result().count(), "vectors": 0}
+        for other in others:
+            other.result()
     run = spark.range(1).select(run_id(manifest_sha, chunks_sha).alias("run_id"), F.lit(manifest_sha).alias("manifest_sha256"), F.lit(chunks_sha).alias("chunks_sha256"), *[F.lit(counts[t]).cast("long").alias(c) for t, c in (("documents", "doc_count"), ("chunks", "chunk_count"), ("terms", "term_count"))])
     run_key = put("runs", run).first()["run_id"]
     vectors = spark.createDataFrame([], TABLES["vectors"])

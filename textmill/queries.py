@@ -421,6 +421,21 @@ def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("embedding").alias("dim"), F.round(search.norm(F.col("embedding")), 4).alias("norm"))
 
 
+def _echo(url: str, headers: dict[str, str], body: bytes, timeout: float) -> bytes:
+    """An endpoint whose vectors are a text's length, its words and the model's name's length."""
+    asked = json.loads(body)
+    rows = [{"index": k, "embedding": [len(t), t.count(" "), len(asked["model"])]} for k, t in enumerate(asked["input"])]
+    return json.dumps({"data": rows[::-1]}).encode()
+
+
+@query("SELECT doc_id, length(text)::DOUBLE AS a, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS b, 6::DOUBLE AS c FROM documents WHERE text IS NOT NULL")
+def http_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The remote embedder in the tasks, with a transport that needs no network."""
+    rows = _table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+    made = embed_rows(rows, HttpEmbedder("http://localhost/v1", "echoes", "key", dim=3, transport=_echo))
+    return made.select("doc_id", *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate("abc")])
+
+
 _VECTORS = """
 vecs AS (SELECT vec_id, embedding::DOUBLE[] AS v, count(*) OVER () AS n FROM embeddings WHERE embedding IS NOT NULL),
 cvec AS (SELECT chunk_id, v FROM chunks JOIN vecs ON vec_id = ('0x' || left(chunk_id, 8))::BIGINT % n),
@@ -708,6 +723,16 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "query", "refused", F.size("citations").cast("long").alias("citations"), "answer")
 
 
+@query(
+    f"WITH RECURSIVE {_BM25}, {_SIG}, {_HITS}, {_GATE}, {_CLAIMS}, told AS (SELECT query_id, string_agg(text || ' ' || marker, chr(10) ORDER BY seq) AS lines FROM claims GROUP BY query_id)"
+    f" SELECT a.query_id, coalesce('answer to ' || chr(39) || a.query || chr(39) || ':' || chr(10) || lines, 'Refusal: {answer.REFUSAL}') AS said FROM asked a LEFT JOIN told t ON t.query_id = a.query_id"
+)
+def rendered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line says to each of the stated queries."""
+    found = answer.answers(_index(spark, sf_dir), _asked(spark, sf_dir)).select("query_id", "query", "refused", "answer")
+    return spark.createDataFrame([(r["query_id"], answer.render(r.asDict())) for r in found.collect()], "query_id long, said string")
+
+
 @query(f"WITH RECURSIVE {_BM25}, {_HITS}, {_LABELS}, firsts AS (SELECT l.query_id, l.query, l.rel_doc, coalesce(min(h.rank), 0) AS rank FROM labels_ l LEFT JOIN hits h ON h.query_id = l.query_id AND h.rel_path = l.rel_doc GROUP BY ALL) SELECT query, rel_doc, rank FROM firsts")
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``evaluate`` on labelled queries that went through their file."""
