@@ -92,30 +92,46 @@ def _ip_parts(match: Column) -> Column:
     return F.forall(F.split(match, r"\."), small)
 
 
-#: Elements that are put onto one array before a new one is begun.
-GATHERED = 128
+#: Parts that are put onto one array before a new one is begun, and how deep arrays of arrays go.
+GATHERED, LEVELS = 64, 3
 
 
 def gather(n: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """The arrays that ``step`` gives for each number below ``n``, one behind
     the other, as an array of ``kind``. ``step`` takes a carried number (0 at
-    first) and the place, and gives an array and the next carried number."""
+    first) and the place, and gives an array and the next carried number.
 
-    def state(out: Column, at: Column, of: str) -> Column:
-        return F.struct(out.alias("out"), at.cast("int").alias("at")).cast(f"struct<out:array<{of}>,at:int>")
+    A fold copies its state at every step. Places are therefore folded in blocks
+    of ``GATHERED``, and blocks in blocks, so that a long array is copied once
+    for thousands of places and not for each."""
 
-    def inner(s: Column, i: Column) -> Column:
-        out, at = step(s["at"], i)
-        return state(F.concat(s["out"], out), at, kind)
+    def state(out: Column, at: Column) -> Column:
+        return F.struct(out.alias("out"), at.cast("int").alias("at"))
 
-    def outer(s: Column, b: Column) -> Column:
-        places = F.sequence(b * GATHERED, F.least(n, (b + 1) * GATHERED) - 1)
-        made = F.aggregate(places, state(F.array(), s["at"], kind), inner)
-        return _let(made, lambda r: state(F.concat(s["out"], F.array(r["out"])), r["at"], f"array<{kind}>"))
+    def none(of: str) -> Column:
+        return F.array().cast(f"array<{of}>")
 
-    blocks = F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / GATHERED).cast("int"))
-    whole = F.aggregate(blocks, state(F.array(), F.lit(0), f"array<{kind}>"), outer, lambda s: F.flatten(s["out"]))
-    return F.when(n > 0, whole).otherwise(F.array().cast(f"array<{kind}>"))
+    def block(number: Column, level: int, at: Column, finish: Callable[[Column], Column]) -> Column:
+        """The state after the places of a block, which is that number of its level."""
+        width = GATHERED**level
+        if level == 1:
+            places = F.sequence(number * width, F.least(n, (number + 1) * width) - 1)
+
+            def add(s: Column, i: Column) -> Column:
+                out, carried = step(s["at"], i)
+                return state(F.concat(s["out"], out), carried)
+
+            return F.aggregate(places, state(none(kind), at), add, finish)
+        inside = F.lit(GATHERED) if level < LEVELS else F.ceil(n / (width // GATHERED)).cast("int")
+        last = F.least(F.floor((n - 1) / (width // GATHERED)).cast("int"), number * GATHERED + inside - 1)
+        parts = F.sequence(number * GATHERED, last)
+
+        def join(s: Column, k: Column) -> Column:
+            return block(k, level - 1, s["at"], lambda r: state(F.concat(s["out"], F.array(r["out"])), r["at"]))
+
+        return F.aggregate(parts, state(none(f"array<{kind}>"), at), join, lambda s: finish(state(F.flatten(s["out"]), s["at"])))
+
+    return F.when(n > 0, block(F.lit(0), LEVELS, F.lit(0), lambda s: s["out"])).otherwise(none(kind))
 
 
 def _located(text: Column, pattern: str, kind: int, valid: Callable[[Column], Column], before: int = 0) -> Column:
