@@ -322,6 +322,13 @@ def test_personal_data(spark):
     assert added > 100 and pii.report(empty(spark)).count() == 0
 
 
+def test_gathered_arrays_of_any_length(spark):
+    lengths = [0, 1, 63, 64, 65, 127, 128, 4095, 4096, 4097, 8193, 20_000]
+    rows = spark.createDataFrame([(n,) for n in lengths], "n int")
+    found = rows.select("n", pii.gather(F.col("n"), "int", lambda at, i: (F.when(i % 3 == 0, F.array(at, i)).otherwise(F.array().cast("array<int>")), at + 2)).alias("x")).collect()
+    assert all(x["x"] == [y for i in range(0, x["n"], 3) for y in (2 * i, i)] for x in found) and len(found) == len(lengths)
+
+
 def test_long_texts_with_many_matches(spark):
     """A megabyte with tens of thousands of matches takes seconds."""
     unit = "call (555) 123-4567, mail a.b@site.org or c (at) site (dot) org from 10.0.0.1; "

@@ -62,7 +62,8 @@ def _delete_all() -> None:
 
 def collector_off(run: Callable) -> Callable:
     """A worker function that keeps many objects without cycles runs without
-    Python's cycle collector, which would walk them again and again."""
+    Python's cycle collector, which would walk them again and again. At its end
+    the worker, which waits for other tasks, gives back what Arrow has kept."""
 
     @wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,6 +72,7 @@ def collector_off(run: Callable) -> Callable:
             yield from run(batches)
         finally:
             gc.enable()
+            pa.default_memory_pool().release_unused()
 
     return wrapped
 

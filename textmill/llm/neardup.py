@@ -47,7 +47,7 @@ BROADCAST_IDS = 1 << 20
 #: Orders by which buckets suggest members of their largest part.
 SUGGESTIONS = 6
 #: Words whose hashes a worker remembers before it starts afresh.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 _SKETCH = "doc_id long, t long, n_shingles long, d0 long, d1 long, s array<long>"
 
@@ -195,6 +195,7 @@ def _with_texts(pairs: DataFrame, a: str, b: str, docs: DataFrame, nodes: DataFr
 def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
 
+    @collector_off
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last, own = Shingler(width), None, None
         for batch in slices(batches, 64):
@@ -246,6 +247,7 @@ def compare_with_hubs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width
     lowest bit tells which; null if there are more than ``DIFFERENCES``)."""
     both = _with_texts(pairs, "node", "hub", docs, nodes)
 
+    @collector_off
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last, own = Shingler(width), None, None
         one = np.uint64(1)
