@@ -31,7 +31,7 @@ ORDER = 4
 SAMPLE_DOCS = 300
 #: Bytes of these at which no further document is added, so that the driver's share is bounded.
 SAMPLE_BYTES = 1_500_000
-#: Of them every so many-th calibrates, in the order of their hashes.
+#: Every so many-th of them calibrates, in the order of their hashes.
 HELD = 5
 #: Share of a language's held-out texts that are not rejected, and lengths of pieces that tell how limits widen.
 REJECT_QUANTILE, PIECES = 0.995, (16, 64, 256)
@@ -201,16 +201,20 @@ def _block(samples: list[list[str]], order: int) -> Block:
 
 
 def fit(texts: dict[str, list[str]], order: int = ORDER) -> Models:
-    """Models of the languages from their texts, and limits from every
-    ``HELD``-th of these, which the models do not see. Texts without a letter
-    add nothing; a language of fewer than ``HELD`` texts rejects none."""
+    """Models of the languages from their texts. Limits come from models that
+    leave out every ``HELD``-th text, and from those texts; then all texts are
+    learned. Texts without a letter add nothing; a language of fewer than
+    ``HELD`` texts rejects none."""
     langs = sorted(texts)
     clean = [[t for t in texts[lang] if t and has_letter(t)] for lang in langs]
-    seen = [[t for k, t in enumerate(own) if (k + 1) % HELD] for own in clean]
-    models = Models(langs, [_block(seen[i : i + BLOCK], order) for i in range(0, len(langs), BLOCK)], np.tile([0.0, 0.0, np.inf], (len(langs), 1)))
+
+    def learned(samples: list[list[str]]) -> Models:
+        return Models(langs, [_block(samples[i : i + BLOCK], order) for i in range(0, len(langs), BLOCK)], np.tile([0.0, 0.0, np.inf], (len(langs), 1)))
+
+    partly, models = learned([[t for k, t in enumerate(own) if (k + 1) % HELD] for own in clean]), learned(clean)
     for k, own in enumerate(clean):
         if held := own[HELD - 1 :: HELD]:
-            models.limits[k] = _calibrated(held, lambda t, k=k: float(cross_entropies(models, t)[k]))
+            models.limits[k] = _calibrated(held, lambda t, k=k: float(cross_entropies(partly, t)[k]))
     return models
 
 
