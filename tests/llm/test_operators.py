@@ -255,6 +255,38 @@ def test_near_duplicates_by_texts_where_differences_are_many(spark, monkeypatch)
     assert {x["doc_id"]: x["component_id"] for x in neardup.classify(documents(spark, texts), 3, 85).collect()} == {i: root for i, (_, root) in expected.items()}
 
 
+def test_far_copies_in_a_bucket_are_ruled_out_before_they_are_compared(spark, monkeypatch):
+    r = random.Random(43)
+    core = words_of(r, 150, 5000).split()
+    texts = [" ".join(f"new{r.randrange(10**6)}" if r.random() < 0.1 else w for w in core) for _ in range(40)]
+    met = []
+    monkeypatch.setattr(neardup, "suggestions", lambda placed: met.append(placed.count()) or placed.select(F.col("node").alias("a"), F.col("node").alias("b")).filter("a < b"))
+    monkeypatch.setattr(neardup, "same_hub_link", lambda a, b, percent: F.raise_error(F.concat_ws(" ", f"{a}_n", f"{b}_n")).cast("boolean"))
+    monkeypatch.setattr(neardup, "distance_between", lambda a, b: F.raise_error(F.concat_ws(" ", a, b)).cast("int"))
+    assert all(x["kept"] for x in neardup.classify(documents(spark, texts), 3, 85).collect())
+    assert met[0] > 100
+
+
+def test_parities_differ_in_no_more_classes_than_there_are_different_shingles():
+    r, all_shingles = np.random.default_rng(7), np.random.default_rng(8).integers(0, 1 << 64, 3000, dtype=np.uint64)
+    for size, changed in ((0, 1), (1, 1), (40, 3), (400, 30), (2000, 900)):
+        x = r.permutation(all_shingles)
+        sets = x[:size], x[changed : size + changed + 1]
+        a, b = neardup.parities([np.unique(s) for s in sets])
+        assert 0 < int(np.bitwise_count(a ^ b).sum()) <= len(np.setxor1d(*sets))
+
+
+def test_a_large_bucket_is_dealt_in_portions(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MEMBERS", 4)
+    r = random.Random(44)
+    core = words_of(r, 150, 5000).split()
+    texts = [" ".join(f"new{r.randrange(10**6)}" if r.random() < rate else w for w in core) for rate in (0.01, 0.03, 0.05, 0.06) for _ in range(20)]
+    for text in texts[50:]:  # links between texts that are far from the others
+        texts.append(text.replace(core[70], "once"))
+    expected = brute_components(texts, 3, 85)
+    assert {x["doc_id"]: x["component_id"] for x in neardup.classify(documents(spark, texts), 3, 85).collect()} == {i: root for i, (_, root) in expected.items()}
+
+
 def test_every_pair_within_the_distance_shares_a_key(spark):
     r = np.random.default_rng(4)
     t = neardup.allowed_distance(85)

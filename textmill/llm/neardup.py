@@ -15,9 +15,12 @@ sets, which costs no more pairs than there are nodes. Nodes of the same hub are
 then compared by what they differ from it in, exactly and without their texts:
 first, a node in a small component with a few members of the large component of
 its buckets; at last, where a bucket still holds several components, all nodes of
-different ones, inside the join's condition. Pairs with different hubs are
-filtered by size and signature and confirmed on the texts. No pair within a
-component is ever expanded, and no link that joins components is lost.
+different ones, inside the join's condition. There the parities of 512 classes of
+shingles come first: classes in which two nodes disagree cannot outnumber the
+shingles that only one has, so a few machine words rule out nearly all pairs that
+are not linked, and none that are. Pairs with different hubs are then filtered by
+signature and confirmed on the texts. No pair within a component is ever expanded,
+and no link that joins components is lost.
 """
 
 from __future__ import annotations
@@ -44,12 +47,16 @@ DIFFERENCES = 512
 SPLIT = 256
 #: Documents of such pairs whose ids are sent to every task, so that other texts are not shuffled.
 BROADCAST_IDS = 1 << 20
+#: Longs that hold the parities of a set, a bit for each class of its shingles.
+PARITIES = 8
+#: Members of a bucket that meet its smaller parts in a task; these are copied for each further such number.
+MEMBERS = 2048
 #: Orders by which buckets suggest members of their largest part.
 SUGGESTIONS = 6
 #: Words whose hashes a worker remembers before it starts afresh.
 MEMO_WORDS = 200_000
 
-_SKETCH = "doc_id long, t long, n_shingles long, d0 long, d1 long, s array<long>"
+_SKETCH = "doc_id long, t long, n_shingles long, d0 long, d1 long, s array<long>, p array<long>"
 
 
 class _Words(dict):
@@ -102,9 +109,23 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Whether a set has an odd number of shingles of each class, a bit a class
+    (a row of ``PARITIES`` longs for each set)."""
+    odd = np.zeros((len(sets), 64 * PARITIES), dtype=np.uint8)
+    for k, s in enumerate(sets):
+        odd[k] = np.bincount((s % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    ends = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.reshape(-1)))
+
+
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, a hash of the text (t), n_shingles, a digest of the set (d0, d1)
-    and the signature of every row."""
+    """doc_id, a hash of the text (t), n_shingles, a digest of the set (d0, d1),
+    the signature (s) and the parities (p) of every row."""
 
     @collector_off
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +133,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
         for batch in slices(batches, 128):
             sets = [shingle(t) for t in batch.column("text").to_pylist()]
             digests = np.array([np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in sets]).reshape(-1, 2)
-            symbols = signatures(sets)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * CHUNKS + 1, CHUNKS, dtype=np.int32)), pa.array(symbols.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), flat], names=["doc_id", "t", "n_shingles", "d0", "d1", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), _lists(signatures(sets)), _lists(parities(sets))], names=["doc_id", "t", "n_shingles", "d0", "d1", "s", "p"])
 
     return _texts(docs).mapInArrow(run, _SKETCH)
 
@@ -279,7 +298,7 @@ def same_hub_link(a: str, b: str, percent: int) -> Column:
     least = n_a - F.col(f"{a}_added") - F.col(f"{b}_gone")
 
     def enough(common: Column) -> Column:
-        return 100 * common >= percent * (n_a + n_b - common)
+        return (100 + percent) * common >= percent * (n_a + n_b)
 
     most = least + F.least(f"{a}_gone", f"{b}_gone") + F.least(f"{a}_added", f"{b}_added")
     return enough(most) & enough(least + F.size(F.array_intersect(f"{a}_diff", f"{b}_diff")))
@@ -310,17 +329,45 @@ def suggestions(placed: DataFrame) -> DataFrame:
     return placed.join(top, ["key", "hub"]).filter(F.col("part") != F.col("top.part")).select(F.col("node").alias("a"), F.col("top.node").alias("b")).distinct()
 
 
-def first_common(a: Column, b: Column, distance: int) -> Column:
-    """Number of the first key of an unaltered chunk that two signatures share,
-    -1 if there is none; so a pair is taken from one bucket of theirs."""
+def may_link(a: str, b: str, percent: int) -> Column:
+    """False only if two nodes have too many different shingles for a link: each
+    class of shingles with different parities holds one at least."""
+    differ = sum((F.bit_count(F.col(f"{a}_p{i}").bitwiseXOR(F.col(f"{b}_p{i}"))) for i in range(PARITIES)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col(f"{a}_n") + F.col(f"{b}_n"))
+
+
+def first_meeting(a: Column, b: Column, k: Column, distance: int) -> Column:
+    """Whether key number k is the first key of an unaltered chunk that two
+    signatures share, or there is none; so a pair is taken from one bucket of
+    theirs. The position stands here once, as Spark works out ahead of a
+    condition, for every pair, what stands in it twice."""
     errors = chunk_errors(distance)
     if min(errors):
-        return F.lit(-1)
+        return F.lit(True)
     start = errors.index(0)
     before = sum(len(_lane_masks(e)) for e in errors[:start])
     same = F.zip_with(F.slice(a, start + 1, CHUNKS), F.slice(b, start + 1, CHUNKS), lambda x, y: x == y)
-    at = F.array_position(same, F.lit(True)).cast("int")
-    return F.when(at > 0, at - 1 + before).otherwise(-1)
+    return F.array_position(same, F.lit(True)).isin(F.lit(0), k - before + 1)
+
+
+def crossing(members: DataFrame, distance: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a bucket (key, k) and of different parts, and
+    whether they are sure: linked by what they differ from their hub in, else
+    close by their signatures. The cheap conditions come first. ``copies`` is in
+    how many portions a bucket's members are dealt; those outside its largest
+    part (not ``major``) go to each."""
+    words = [F.get("p", F.lit(i)).alias(f"p{i}") for i in range(PARITIES)]
+    wide = members.select(*[c for c in members.columns if c != "p"], *words)
+    dealt = wide.withColumn("copy", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int")).drop("copies")
+    copied = wide.filter(~F.col("major")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies", "k")
+    a, b = side(dealt, "a", "key", "copy", "k"), side(copied, "b", "key", "copy")
+    crosses = (a["key"] == b["key"]) & (a["copy"] == b["copy"]) & (F.col("a_part") != F.col("b_part")) & (F.col("a_major") | (F.col("a_part") < F.col("b_part")))
+    tested = (F.col("a_hub") == F.col("b_node")) | (F.col("b_hub") == F.col("a_node"))
+    sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    near = F.when(comparable("a", "b"), same_hub_link("a", "b", percent)).otherwise(distance_between(F.col("a_s"), F.col("b_s")) <= distance)
+    once = first_meeting(F.col("a_s"), F.col("b_s"), F.col("k"), distance)
+    found = a.join(b, crosses & sizes & may_link("a", "b", percent) & ~tested & near & once)
+    return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), comparable("a", "b").alias("sure")).distinct()
 
 
 def classify(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -343,7 +390,7 @@ def classify(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     classes = own.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.count(F.lit(1)).alias("copies")).select("first.*", "copies")
     # joined on the id too, so that a large group of copies does not meet in one task
     chosen = filled.join(classes, ["doc_id", "t"])
-    nodes = materialize(chosen.select(F.col("doc_id").alias("node"), "t", F.col("n_shingles").alias("n"), "s", "d0", "d1", "copies").dropDuplicates(["node"]), "nodes")
+    nodes = materialize(chosen.select(F.col("doc_id").alias("node"), "t", F.col("n_shingles").alias("n"), "s", "p", "d0", "d1", "copies").dropDuplicates(["node"]), "nodes")
 
     keyed = nodes.select("node", F.posexplode(keys(F.col("s"), distance)).alias("k", "key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
@@ -351,7 +398,7 @@ def classify(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     compared = materialize(compare_with_hubs(stars(shared), docs, nodes, width, percent), "stars")
     none = F.array().cast("array<long>")
-    details = nodes.join(compared, "node", "left").select("node", "n", "s", F.coalesce("hub", "node").alias("hub"), F.coalesce("gone", F.lit(0)).alias("gone"), F.coalesce("added", F.lit(0)).alias("added"), F.when(F.col("hub").isNull(), none).otherwise(F.col("diff")).alias("diff"))
+    details = nodes.join(compared, "node", "left").select("node", "n", "s", "p", F.coalesce("hub", "node").alias("hub"), F.coalesce("gone", F.lit(0)).alias("gone"), F.coalesce("added", F.lit(0)).alias("added"), F.when(F.col("hub").isNull(), none).otherwise(F.col("diff")).alias("diff"))
     details = materialize(details.join(shared.select("node").distinct(), "node", "left_semi"), "details")
     starred = materialize(compared.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")), "links")
     discard(compared)
@@ -363,25 +410,18 @@ def classify(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         discard(found)
         return placed
 
-    placed, flat = opened(starred), details.drop("s")
+    placed, flat = opened(starred), details.drop("s", "p")
     tried = suggestions(placed).join(side(flat, "a").withColumnRenamed("a_node", "a"), "a").join(side(flat, "b").withColumnRenamed("b_node", "b"), "b")
     suggested = materialize(tried.filter(comparable("a", "b") & same_hub_link("a", "b", percent)).select("a", "b"), "links")
     discard(placed)
     links = starred.unionByName(suggested)
 
     placed = opened(links)
-    largest = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "part")).alias("top")).select("key", F.col("top.part").alias("largest"))
+    groups = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = groups.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.ceil(F.sum("n") / MEMBERS).cast("int").alias("copies")).select("key", F.col("top.part").alias("largest"), "copies")
     members = materialize(placed.drop("hub").join(largest, "key").join(details, "node").withColumn("major", F.col("part") == F.col("largest")).drop("largest"), "members")
     discard(placed, shared, details)
-    a, b = side(members, "a", "key", "k"), side(members.drop("k").filter(~F.col("major")), "b", "key")
-    first = first_common(F.col("a_s"), F.col("b_s"), distance)
-    crosses = (a["key"] == b["key"]) & (F.col("a_part") != F.col("b_part")) & (F.col("a_major") | (F.col("a_part") < F.col("b_part")))
-    tested = (F.col("a_hub") == F.col("b_node")) | (F.col("b_hub") == F.col("a_node"))
-    sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-    once = (first == F.col("k")) | (first < 0)
-    near = F.when(comparable("a", "b"), same_hub_link("a", "b", percent) & once).otherwise((distance_between(F.col("a_s"), F.col("b_s")) <= distance) & once)
-    crossing = a.join(b, crosses & sizes & ~tested & near)
-    pairs = materialize(crossing.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), comparable("a", "b").alias("sure")).distinct(), "pairs")
+    pairs = materialize(crossing(members, distance, percent), "pairs")
     discard(members)
     links = links.unionByName(pairs.filter("sure").select("a", "b"))
     unsure = pairs.filter(~F.col("sure")).select("a", "b")
