@@ -10,6 +10,8 @@ from ..functions.embed import Embedder
 from . import search
 from .index import Index
 
+#: Hits up to which their texts are held by the driver, for what reads them twice.
+HELD_TEXTS = 10_000
 REFUSAL = "no retrieved passage supports an answer to this question."
 
 
@@ -38,14 +40,16 @@ def claims(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def hits_with_text(index: Index, hits: DataFrame) -> DataFrame:
-    """Full texts of hits, the snippet where a chunk has gone."""
-    texts = index.chunks.select("chunk_id", F.col("text").alias("full"))
+    """Full texts of hits, the snippet where a chunk has gone. Few hits go to the
+    chunks and not the chunks to them."""
+    hits = search.held(hits, search.BROADCAST_HITS)
+    texts = index.chunks.join(hits.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", F.col("text").alias("full"))
     return hits.join(texts, "chunk_id", "left").withColumn("text", F.coalesce("full", "snippet")).drop("full")
 
 
 def answers(index: Index, queries: DataFrame, embedder: Embedder | None = None, mode: str = "term", k: int = 5, alpha: float = search.ALPHA) -> DataFrame:
     """query_id, query, refused, answer and citations of each query."""
-    hits = hits_with_text(index, search.run(index, queries, mode, embedder, k, alpha))
+    hits = search.held(hits_with_text(index, search.run(index, queries, mode, embedder, k, alpha)), HELD_TEXTS)
     made = claims(queries, hits)
     parts = F.array_sort(F.collect_list(F.struct("seq", "marker", "text", "doc_id", "chunk_index", "chunk_id", "rel_path")))
     grouped = made.groupBy("query_id").agg(parts.alias("citations"))

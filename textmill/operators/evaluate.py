@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.embed import Embedder
 from . import answer, search
 from .index import Index
@@ -32,6 +37,42 @@ def retrieval_metrics(ranks: DataFrame, k: int) -> DataFrame:
     return found.select("n_queries", value(F.col("r")).alias("recall_at_k"), value(F.col("r") / k).alias("precision_at_k"), value(F.col("m")).alias("mrr"))
 
 
+#: Passages up to which they are held by the driver and sent to every task.
+BROADCAST_PASSAGES = 10_000
+
+
+def holding(docs: DataFrame, passages: DataFrame, window: int = 4) -> DataFrame:
+    """query_id and rel_path of each text (rel_path, text) that contains a
+    passage (query_id, passage) of ``window`` + 2 tokens or more. A passage is
+    looked for by the tokens after its first, which stand whole in any text that
+    holds it, and then in full; by one Arrow pass, as hashing the windows in SQL
+    takes some forty times as long. More passages are joined by these hashes."""
+    sent = search.few(passages.select("query_id", "passage"), BROADCAST_PASSAGES)
+    if sent is None:
+        cut = lambda at: F.xxhash64(F.slice("ts", at, window))
+        keyed = passages.select("query_id", "passage", T.tokens(F.col("passage")).alias("ts")).select("query_id", "passage", cut(2).alias("key"))
+        tokens = docs.select("rel_path", "text", T.tokens(F.col("text")).alias("ts")).filter(F.size("ts") >= window)
+        keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ts") - window + 1), cut))
+        found = tokens.select("rel_path", "text", F.explode(keys).alias("key")).join(keyed, "key").filter(F.contains(F.col("text"), F.col("passage")))
+        return found.select("query_id", "rel_path")
+    known: dict[tuple[str, ...], list[tuple[int, str]]] = {}
+    for query_id, passage in zip(*(sent.column(c).to_pylist() for c in ("query_id", "passage")), strict=True):
+        known.setdefault(tuple(re.findall("[a-z0-9]+", passage.lower())[1 : window + 1]), []).append((query_id, passage))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                tokens = re.findall("[a-z0-9]+", (text or "").lower())
+                for key in known.keys() & set(zip(*(tokens[k:] for k in range(window)), strict=False)):
+                    inside = [query_id for query_id, passage in known[key] if passage in text]
+                    ids += inside
+                    rows += [row] * len(inside)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("rel_path").take(pa.array(rows, pa.int64()))], names=["query_id", "rel_path"])
+
+    return docs.select("rel_path", "text").mapInArrow(run, "query_id long, rel_path string")
+
+
 def evaluate(index: Index, queries: DataFrame, embedder: Embedder | None = None, k: int = 5, mode: str = "hybrid") -> tuple[DataFrame, DataFrame]:
     """Metrics (one row) and the rank of each labelled query."""
     if k <= 0:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import chunk_id
-from .index import Index, term_table
+from .index import Index, token_runs
+from .search import held
 
 FAILURE = "check_no int, subject string, message string"
 
@@ -26,7 +28,9 @@ def orphan_chunks(index: Index) -> DataFrame:
 
 
 def orphan_terms(index: Index) -> DataFrame:
-    return index.terms.join(index.chunks, "chunk_id", "left_anti")
+    """Runs of the terms table. They are moved to the ids of the chunks as they
+    are, a row for each chunk, and nothing is sorted."""
+    return index.terms.join(index.chunks.select("chunk_id").hint("shuffle_hash"), "chunk_id", "left_anti")
 
 
 def repeated_paths(index: Index) -> DataFrame:
@@ -51,12 +55,16 @@ def hash_rows(index: Index, files: DataFrame) -> DataFrame:
     return canonical.join(carried, "sha256", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def _terms() -> Column:
+    return F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0)).cast("long")
+
+
 def live_counts(index: Index) -> DataFrame:
     """name, recorded, live of the three counts of the run; recorded is null
     unless there is exactly one run."""
     runs = index.runs.agg(F.count(F.lit(1)).alias("runs"), *[F.max(c).alias(c) for c in ("doc_count", "chunk_count", "term_count")])
-    live = [index.documents.select(F.lit("doc_count").alias("name")), index.chunks.select(F.lit("chunk_count").alias("name")), index.terms.select(F.lit("term_count").alias("name"))]
-    counted = reduce(DataFrame.unionByName, [rows.agg(F.count(F.lit(1)).alias("live")).withColumn("name", F.lit(name)) for rows, name in zip(live, ("doc_count", "chunk_count", "term_count"), strict=True)])
+    live = {"doc_count": (index.documents, F.count(F.lit(1))), "chunk_count": (index.chunks, F.count(F.lit(1))), "term_count": (index.terms, _terms())}
+    counted = reduce(DataFrame.unionByName, [rows.agg(n.alias("live")).withColumn("name", F.lit(name)) for name, (rows, n) in live.items()])
     recorded = runs.select("runs", F.explode(F.create_map(*[x for c in ("doc_count", "chunk_count", "term_count") for x in (F.lit(c), F.col(c))])).alias("name", "recorded"))
     return counted.join(recorded, "name").select("name", F.when(F.col("runs") == 1, F.col("recorded")).alias("recorded"), "live", "runs")
 
@@ -66,7 +74,8 @@ def failures(index: Index, files: DataFrame, disk: DataFrame, exempt: DataFrame)
     rel_path and actual (hash, or null with ``error`` where it cannot be read)."""
     docs, D = index.documents, "document "
     chunks = orphan_chunks(index).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
-    terms = orphan_terms(index).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
+    sizes = replace(index, terms=index.terms.select("chunk_id", F.size("tokens").cast("long").alias("n")))
+    terms = orphan_terms(sizes).agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
     disk_rows = against_disk(index, disk, exempt)
     there = disk_rows.filter(F.col("there") & F.col("actual").isNotNull())
     hashes, counts = hash_rows(index, files), live_counts(index)
@@ -89,14 +98,37 @@ def failures(index: Index, files: DataFrame, disk: DataFrame, exempt: DataFrame)
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Chunks up to which those with other terms than their text are held by the driver.
+BROADCAST_CHUNKS = 100_000
+
+
+def stray_terms(index: Index) -> DataFrame:
+    """chunk_id and n: how many rows of the terms table a chunk's text does not
+    give, and how many that it gives are not there. Both sides of a chunk meet
+    by a hash first; only those of chunks that differ are compared."""
+    both = index.terms.select("chunk_id", F.lit(1).alias("side"), "start", "tokens").unionByName(token_runs(index.chunks).withColumn("side", F.lit(0)))
+    hashed = both.select("chunk_id", "side", F.unhex(F.sha2(F.to_json(F.struct("start", "tokens")), 256)).alias("hash"))
+    same = (F.count(F.lit(1)) == 2) & (F.sum("side") == 1) & (F.min("hash") == F.max("hash"))
+    differing = hashed.groupBy("chunk_id").agg(same.alias("same")).filter("not same").select("chunk_id")
+    runs = both.join(held(differing.hint("shuffle_hash"), BROADCAST_CHUNKS), "chunk_id", "left_semi")
+    gathered = runs.groupBy("chunk_id").agg(*[F.collect_list(F.when(F.col("side") == k, F.struct("start", "tokens"))).alias(name) for k, name in ((1, "listed"), (0, "given"))])
+
+    def lacking(rows: str, others: str) -> Column:
+        def there(term: Column, place: Column) -> Column:
+            at = lambda run: place - run["start"]
+            return F.exists(others, lambda run: F.when((at(run) >= 0) & (at(run) < F.size(run["tokens"])), F.get(run["tokens"], at(run).cast("int")) == term).otherwise(False))
+
+        return F.aggregate(rows, F.lit(0).cast("long"), lambda n, run: n + F.size(F.filter(run["tokens"], lambda term, i: ~there(term, run["start"] + i))))
+
+    return gathered.select("chunk_id", (lacking("listed", "given") + lacking("given", "listed")).alias("n")).filter("n > 0")
+
+
 def deep_failures(index: Index) -> DataFrame:
     """What the plain audit does not look at: ids that their chunk's text does
     not give, terms that a chunk does not have or lacks, vectors without a chunk
     and, if there are vectors, chunks without one."""
     wrong = index.chunks.filter(F.col("chunk_id") != chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("text")))
-    derived = term_table(index.chunks)
-    keys = ["term", "chunk_id", "position"]
-    stray = index.terms.join(derived, keys, "left_anti").unionByName(derived.join(index.terms, keys, "left_anti")).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    stray = stray_terms(index)
     parts = [
         _failures(11, wrong, F.col("chunk_id"), _say("chunk ", F.col("chunk_id"), ": id does not match its text")),
         _failures(12, stray, F.col("chunk_id"), _say("chunk ", F.col("chunk_id"), ": ", F.col("n"), " term row(s) differ from its text")),
