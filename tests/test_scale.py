@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions.embed import local_embedder
 from textmill.operators import answer, evaluate, index, ingest, search, verify
+from textmill.sources import files
 
 TEXTS = ["A grey ox pulls a cart. " * 3, "The ox rests at noon, the yak does not.", "Salt and salt and a yak", "?!", "A grey ox pulls a cart. " * 3]
 
@@ -101,3 +102,35 @@ def test_passages_are_found_either_way(spark, monkeypatch):
     assert by_pass == {(1, "a"), (1, "c"), (2, "b")}
     monkeypatch.setattr(evaluate, "BROADCAST_PASSAGES", 0)
     assert found() == by_pass
+
+
+def test_folders_stand_for_their_files(spark, tmp_path):
+    root = tmp_path / "corpus"
+    for name in ("many/a.txt", "many/deep/b [1].txt", "some/c.txt", "some/_d.txt", "mixed/e.txt", "top.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    (root / "mixed/link.txt").symlink_to(tmp_path / "outside.txt")
+    (root / "mixed/near.txt").symlink_to(root / "top.txt")
+    paths = files.walk(root)[0]
+    assert files.covering(root, paths) == ["many/", "mixed/e.txt", "mixed/near.txt", "some/_d.txt", "some/c.txt", "top.txt"]
+    assert files.covering(root, [p for p in paths if p != "many/deep/b [1].txt"])[0] == "many/a.txt"
+    read = files.read_binary(spark, root, paths)
+    assert sorted(r["rel_path"] for r in read.collect()) == [p for p in paths if p != "some/_d.txt"] and not any("link" in p for p in read.inputFiles())
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for k in range(400):
+        (tmp_path / f"{k}.txt").write_text(str(k))
+    read = files.read_binary(spark, tmp_path, files.listed(tmp_path))
+    assert files.covering(tmp_path, files.listed(tmp_path)) == [""] and read.count() == 400
+    assert read.rdd.getNumPartitions() <= 8
+
+
+def test_files_are_hashed_once(spark, tmp_path):
+    for k in range(6):
+        (tmp_path / f"{k}.txt").write_text(f"text {k // 2}")
+    found = ingest.ingest(spark, tmp_path)
+    assert found["files"].count() == 6
+    for k in range(6):
+        (tmp_path / f"{k}.txt").unlink()
+    assert found["files"].filter("status = 'duplicate'").count() == 3 and found["quarantine"].count() == 0
