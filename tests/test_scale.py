@@ -3,6 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textmill import queries
+from textmill.functions import embed
+from textmill.functions import text as T
 from textmill.functions.embed import local_embedder
 from textmill.operators import answer, evaluate, index, ingest, search, verify
 from textmill.sources import files
@@ -134,3 +137,21 @@ def test_files_are_hashed_once(spark, tmp_path):
     for k in range(6):
         (tmp_path / f"{k}.txt").unlink()
     assert found["files"].filter("status = 'duplicate'").count() == 3 and found["quarantine"].count() == 0
+
+
+def test_features_are_counted_without_their_strings(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "Aaa aaaa, aaa b2 \u0130stanbul"), (2, "?!"), (3, None), (4, "to be or not to be")], "doc_id long, text string")
+    f = T.features(F.coalesce("text", F.lit("")))
+    wanted = {tuple(r) for r in rows.select("doc_id", F.size(f), F.size(F.array_distinct(f))).collect()}
+    assert {tuple(r) for r in embed.feature_counts(rows).collect()} == wanted
+    monkeypatch.setattr(embed, "MEMO_TOKENS", 1)
+    assert {tuple(r) for r in embed.feature_counts(rows).collect()} == wanted
+    assert "flatten" not in plan_of(queries.ngram_features(spark, "/root/testdata/sf0.001"))
+
+
+def test_equal_chunks_have_equal_scores(spark, opened):
+    words = "salt yak ox cart grey noon".split()
+    texts = spark.createDataFrame([(f"d{k}", 0, " ".join(words[k:] + words[:k])) for k in range(6)], "doc_id string, chunk_index long, text string")
+    postings = index.posting_table(index.with_ids(texts).repartition(3))
+    asked = search.queries_of(opened, [" ".join(words)])
+    assert len({r["score"] for r in search.bm25_scores(index.Index(**{**vars(opened), "postings": postings}), asked).collect()}) == 1
